@@ -62,7 +62,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {
         "email": F.when(text.contains("@"), matches(text, _EMAIL)).otherwise(none),
         "ip": F.when(digit, F.filter(matches(text, _IP), lambda x: x["s"].rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$"))).otherwise(none),
-        "card": F.when(digit, F.filter(matches(text, _CARD), lambda x: F.length(card(x)).between(13, 19) & F.luhn_check(card(x)))).otherwise(none),
+        "card": F.when(digit, F.filter(matches(text, _CARD), lambda x: F.length(card(x)).between(13, 19) & F.call_function("luhn_check", card(x)))).otherwise(none),
         "phone": F.when(text.contains("+"), F.filter(matches(text, _PHONE), lambda x: phone(x).between(9, 15))).otherwise(none),
     }
 
@@ -124,4 +124,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def joined(found: DataFrame, kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` of all spans, by kind and start, comma-joined."""
-    return F.array_join(F.concat(*(F.transform(k, lambda x, k=k: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))) for k in kinds)), ",")
+
+    def named(k: str) -> Column:
+        return F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(named, kinds)), ",")
