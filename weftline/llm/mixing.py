@@ -31,7 +31,7 @@ from weftline.llm.common import cut, n_words
 WEIGHTS = (5, 2, 1)
 EPOCHS, MOST = 1.5, 2
 #: Documents of a bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 #: By rank of the source: (time, weight) knots from 0 to 1. The first kind fades, the second stays, the third rises.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.0)))
