@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, line_quality, mixing, pii, reply_trees, url_filter
-from weftline.llm.common import crc_mod, cut, documents
+from weftline.llm import language_id, line_quality, mixing, pii, rans, reply_trees, url_filter
+from weftline.llm.common import crc_mod, cut, documents, shared_dir
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,18 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    rans.write(documents(spark, sf_dir), path, tokenizer_path())
+    return rans.read(spark, path, with_ids=False)
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -59,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_line_quality": op3_line_quality,
+    "op6_rans": op6_rans,
     "op8_reply_trees": op8_reply_trees,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
