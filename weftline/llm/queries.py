@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, line_quality, mixing, pii, rans, reply_trees, url_filter
+from weftline.llm import decontaminate, jaccard_join, language_id, line_quality, mixing, pii, rans, reply_trees, url_filter
 from weftline.llm.common import crc_mod, cut, documents, shared_dir
 
 
@@ -30,6 +30,14 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -72,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_line_quality": op3_line_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_rans": op6_rans,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_reply_trees": op8_reply_trees,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
