@@ -44,6 +44,8 @@ KEYS, BITS, TILE = 6, 1024, 2048
 POPULAR, LOCAL, LEAST = 1 << 18, 3, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
+_KEY = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD[4])
+
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct elements of all texts, in turn, and how many each text has."""
@@ -128,7 +130,7 @@ def prepare(docs: DataFrame) -> DataFrame:
                 for k in range(2):
                     d[k, full] = np.add.reduceat(mixed(elements * _ODD[k]), at[full])
                 for k in range(KEYS):
-                    keys[k, full] = np.minimum.reduceat(mixed(elements + _ODD[4] * np.uint64(k + 1)), at[full])
+                    keys[k, full] = np.minimum.reduceat(mixed(elements + _KEY[k]), at[full])
             is_late = np.isin(elements, last, assume_unique=False) if len(last) else np.zeros(len(elements), bool)
             prefix, bits = [], []
             for i in range(len(size)):
