@@ -55,7 +55,7 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     messages = cut(reply_trees.linear(rows.unionByName(more)), "messages")
-    return reply_trees.digest(reply_trees.format_conversations(messages))
+    return reply_trees.digest(cut(reply_trees.format_conversations(messages), "conversations"))
 
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]

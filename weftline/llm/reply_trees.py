@@ -55,7 +55,7 @@ def paths(messages: DataFrame) -> DataFrame:
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
         higher = found.alias("a").join(jumps[k].alias("b"), _on("tree", "tree") & (F.col("a.node") == F.col("b.node")))
-        found = found.unionByName(higher.select("a.tree", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + (1 << k)).alias("up")))
+        found = cut(found.unionByName(higher.select("a.tree", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))), "paths")
     return found
 
 
