@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import cut, slices
 
 # Words that mark a url as unwanted.
 SEED_WORDS = ("adult", "bet", "bets", "betting", "casino", "cheap", "cialis", "escort", "free", "gamble", "gambling", "hack", "hacked", "jackpot", "loan", "loans", "nude", "payday", "pharmacy", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx")
@@ -126,6 +126,7 @@ def judge(pages: DataFrame, rules: list[Rule], seeds: tuple[str, ...] = SEED_WOR
     sums = counted.agg(F.coalesce(F.sum("bad_n"), F.lit(0)).alias("bad_all"), F.coalesce(F.sum("good_n"), F.lit(0)).alias("good_all"), F.count("*").alias("distinct"))
     share = lambda n, whole: (F.col(n) + 1) / (F.col(whole) + F.col("distinct") + 1)
     weights = counted.join(F.broadcast(sums)).select(F.col("word").alias("w"), F.log(share("bad_n", "bad_all") / share("good_n", "good_all")).alias("weight"))
+    weights = cut(weights, "weights")  # a hot word's rows can then be split in the join
     prior = urls.agg(F.log((F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)) + 1) / (F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)) + 1)).alias("prior"))
     scored = urls.select("host", "path", F.explode("words").alias("word")).join(weights, F.col("word") == F.col("w"))
     scored = scored.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.sum("weight").alias("weight"))
