@@ -23,13 +23,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.llm.common import slices, starts
 
@@ -221,39 +223,58 @@ def shards(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` of each leaking row with item_id, score, first_word, question_overlap and answer_overlap."""
-    kept = docs.select(*keep)
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"item_id {item_kind}", "score double, first_word long, question_overlap double, answer_overlap double"])
-    out = None
+def _searched(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float) -> Iterator[Callable]:
+    """For each shard, a function from a batch, texts last, to its leaks; to be called on executors."""
     for items in shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # SHARD_CHARS characters at most
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # about SHARD_CHARS characters
+
+        def searcher(shared=shared) -> tuple[Index, Callable[[pa.RecordBatch], list]]:
+            index = Index(shared.value)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, kinds = Index(shared.value), None
-            for batch in slices(batches, column="__text", most=4 << 20):
+            def search(batch: pa.RecordBatch) -> list:
                 words, n = words_of(batch.column(batch.num_columns - 1))
                 code = np.asarray(pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1), dtype=np.int64)
-                hits = index.leaks(code, n, threshold, overlap)
-                if hits:
-                    kinds = kinds or pa.array([i for i, _ in shared.value]).type
-                    rows = pa.array([h[0] for h in hits], pa.int64())
+                return index.leaks(code, n, threshold, overlap)
+
+            return index, search
+
+        yield searcher
+
+
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """doc_id of each leaking row with item_id, score, first_word, question_overlap and answer_overlap."""
+    kinds = [docs.schema["doc_id"], benchmark.schema["item_id"]]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
+    item_type = to_arrow_type(kinds[1].dataType)
+    out = None
+    for searcher in _searched(docs, benchmark, threshold, overlap):
+
+        def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
+            index, search = searcher()
+            for batch in slices(batches, most=4 << 20):
+                if hits := search(batch):
+                    rest = ((2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.take(rows) for c in batch.columns[:-1]), pa.array([index.ids[h[1]] for h in hits], kinds), *(pa.array([h[k] for h in hits], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64())))],
-                        [*batch.schema.names[:-1], "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
+                        [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], item_type), *(pa.array([h[k] for h in hits], t) for k, t in rest)],
+                        ["doc_id", "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
                     )
 
-        part = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with their columns."""
-    number = F.monotonically_increasing_id()
-    from weftline.llm.common import cut
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, unchanged, that leak no item."""
+    out = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    for searcher in _searched(docs, benchmark, threshold, overlap):
+
+        def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
+            _, search = searcher()
+            for batch in slices(batches, most=4 << 20):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[h[0] for h in search(batch)]] = False
+                yield batch.filter(pa.array(keep))
 
-    marked = docs.withColumn("__row", number)
-    leaking = cut(find(marked, benchmark, keep=("__row",), **how).select("__row").distinct(), "leaks")
-    return marked.join(leaking, "__row", "left_anti").drop("__row")
+        out = out.mapInArrow(run, out.schema)
+    return out.select("doc.*")

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import coded, cut, mixed, slices, split_words, starts
 
@@ -112,8 +113,8 @@ def popular(docs: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(rows.column(0).combine_chunks(), dtype=np.int64).view(np.uint64))
 
 
-def prepare(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n, d1, d2 (digest), keys, prefix, bits and text of every row, cut."""
+def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """row, doc_id, n, d1, d2 (digest), keys, prefix, bits and text of every row, cut; with ``carry``, its further columns too."""
     late = docs.sparkSession.sparkContext.broadcast(popular(docs))  # 2 MB at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -149,13 +150,16 @@ def prepare(docs: DataFrame) -> DataFrame:
                     pa.array(list(keys.T.view(np.int64)), pa.list_(pa.int64())),
                     pa.array(prefix, pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()),
-                    batch.column(1),
+                    *batch.columns[1:],
                 ],
-                ["row", "doc_id", "n", "d1", "d2", "keys", "prefix", "bits", "text"],
+                ["row", "doc_id", "n", "d1", "d2", "keys", "prefix", "bits", *batch.schema.names[1:]],
             )
             row += len(size)
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary, text string"), "shingles")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if carry and others else []))
+    schema = T.StructType(T._parse_datatype_string(f"row long, doc_id {kind}, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary").fields + rows.schema.fields[1:])
+    return cut(rows.mapInArrow(run, schema), "shingles")
 
 
 def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -282,8 +286,23 @@ def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, class_id, component_id and is_first (of its component, by doc_id) of every row; text too."""
-    rows = prepare(docs)
+    """doc_id, n_shingles, class_id (null without a set) and component_id of every row."""
+    return joined(prepare(docs)).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, but of each component only the one with the smallest id (nulls last)."""
+    rows = prepare(docs, carry=True)
+    found = joined(rows).where("class_id is not null")
+    firsts = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("first"))
+    kept = firsts.union(rows.where("n = 0").select(F.col("row").alias("first")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = rows.select("row", "doc_id", "text", *(["others"] if others else [])).join(kept, F.col("row") == F.col("first"), "left_semi")
+    return out.select(*(c if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns))
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, class_id, comp and component_id for every row of a prepared table."""
     some = rows.where("n > 0")
     classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys"), F.min_by("bits", "row").alias("bits")), "classes")
     links, comps = None, classes.withColumn("comp", F.col("node"))
@@ -297,5 +316,5 @@ def join(docs: DataFrame) -> DataFrame:
     comps = labelled(classes.select("node", "d1", "d2", "doc"), links)
     named = comps.groupBy("comp").agg(F.min("doc").alias("component_id"))
     comps = cut(comps.join(named, "comp").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node", "comp", "component_id"), "comps")
-    out = rows.drop("keys", "prefix", "bits").join(comps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp", "text")
+    out = rows.select("row", "doc_id", "n", "d1", "d2").join(comps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import slices
 
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
     dimensions = p.shape[1] if names else DIMENSIONS
     kept = docs.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"])
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(dimensions)
@@ -154,3 +155,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predict, schema)
+
+
+def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.05) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language can be told: it is not ``und`` and scores ``min_score``."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = identify(whole, prototypes, keep=("doc",))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("doc.*")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, jaccard_join, language_id, line_quality, mixing, pii, rans, reply_trees, url_filter
+from weftline.llm import decontaminate, jaccard_join, language_id, line_quality, mixing, pii, pitman_yor, rans, reply_trees, url_filter
 from weftline.llm.common import crc_mod, cut, documents, shared_dir
 
 
@@ -30,6 +30,12 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    found = pitman_yor.score(documents(spark, sf_dir), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_line_quality": op3_line_quality,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_decontaminate": op5_decontaminate,
     "op6_rans": op6_rans,
     "op7_jaccard_join": op7_jaccard_join,
