@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import coded, cut, mixed, slices, split_words, starts
+from weftline.llm.common import coded, cut, lean, mixed, slices, split_words, starts
 
 SHINGLE, SIMILAR = 5, 80
-KEYS, BITS, TILE = 6, 1024, 2048
+KEYS, BITS, TILE = 6, 1024, 512
 #: Elements that are put last in the order, at most; those met ``LOCAL`` times or more in one batch are counted.
 POPULAR, LOCAL, LEAST = 1 << 18, 3, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -100,7 +100,7 @@ def popular(docs: DataFrame) -> np.ndarray:
     """The most frequent elements, sorted: at most POPULAR. Any choice gives right results, a good one fast ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             elements, _ = shingle_sets(batch.column(0))
             elements.sort()
             heads = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, int)
@@ -108,7 +108,7 @@ def popular(docs: DataFrame) -> np.ndarray:
             often = n >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(elements[heads[often]].view(np.int64)), pa.array(n[often])], ["e", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(count), "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "e").limit(POPULAR).select("e").toArrow()
     return np.sort(np.asarray(rows.column(0).combine_chunks(), dtype=np.int64).view(np.uint64))
 
@@ -159,7 +159,7 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if carry and others else []))
     schema = T.StructType(T._parse_datatype_string(f"row long, doc_id {kind}, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary").fields + rows.schema.fields[1:])
-    return cut(rows.mapInArrow(run, schema), "shingles")
+    return cut(rows.mapInArrow(lean(run), schema), "shingles")
 
 
 def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = rows.select("row", "text")
     joined = pairs.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("text_b")), F.col("b") == F.col("rb"))
     joined = joined.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("text_a")), F.col("a") == F.col("ra"))
-    found = cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    found = cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), "links")
     _forget(rows)
     return found
 
@@ -205,9 +205,14 @@ def stars(groups: DataFrame, classes: DataFrame, pivot: str) -> DataFrame:
     choose = F.min if pivot == "first" else F.max
     pivots = groups.groupBy("k", "key").agg(choose(F.struct("comp", "node")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     pivots = pivots.select(F.col("k").alias("pk"), F.col("key").alias("pkey"), F.col("p.node").alias("a"), F.col("p.comp").alias("pc"))
-    pairs = groups.join(pivots, (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey"))).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b")).distinct()
+    pairs = groups.join(pivots, (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey"))).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b"))
+    return bounded(pairs, classes)
+
+
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that may link by their sizes and the bit counts of their signatures; cut."""
     sig = classes.select("node", "n", "bits")
-    pairs = pairs.join(sig.select(F.col("node").alias("nb"), F.col("n").alias("size_b"), F.col("bits").alias("bits_b")), F.col("b") == F.col("nb"))
+    pairs = pairs.distinct().join(sig.select(F.col("node").alias("nb"), F.col("n").alias("size_b"), F.col("bits").alias("bits_b")), F.col("b") == F.col("nb"))
     pairs = pairs.join(sig.select(F.col("node").alias("na"), F.col("n").alias("size_a"), F.col("bits").alias("bits_a")), F.col("a") == F.col("na"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +222,14 @@ def stars(groups: DataFrame, classes: DataFrame, pivot: str) -> DataFrame:
                 keep = bound(signatures(batch.column(4)), na, signatures(batch.column(5)), nb) >= needed(na, nb)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    return cut(pairs.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "stars")
+    close = F.least("size_a", "size_b") * 100 >= SIMILAR * F.greatest("size_a", "size_b")
+    return cut(pairs.where(close).select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "bounded")
 
 
 def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share a prefix element and may link by size and signature.
 
-    ``prefixes``: node, n, comp, bits, prefix.
+    ``prefixes``: node, n, comp, prefix.
     """
     held = prefixes.select("node", "n", "comp", F.explode("prefix").alias("e"))
     open_ = held.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select(F.col("e").alias("oe"), "m")
@@ -234,29 +240,58 @@ def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     rows = rows.withColumns({"band": band, "parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
-    rows = rows.select("e", "tile", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node", "n", "comp", (F.col("tile") == F.col("band")).alias("home"))
-    rows = rows.join(classes.select(F.col("node").alias("cn"), "bits"), F.col("node") == F.col("cn")).drop("cn")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, n, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "n", "comp"))
-        home, part = np.asarray(table.column("home").combine_chunks()), np.asarray(table.column("part").combine_chunks())
-        cross = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        sig = signatures(table.column("bits").combine_chunks())
-        out_a, out_b = [], []
-        for i in np.flatnonzero(home).tolist():
-            ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= SIMILAR * np.maximum(n, n[i])) & (~home | (node < node[i]))
-            if cross:
-                ok &= part != part[i]
-            j = np.flatnonzero(ok)
-            if len(j):
-                j = j[bound(sig[i], n[i], sig[j], n[j]) >= needed(n[i], n[j])]
-                out_a.append(np.minimum(node[j], node[i]))
-                out_b.append(np.maximum(node[j], node[i]))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
-        return pa.table({"a": a, "b": b})
-
-    found = rows.groupBy("e", "tile", "x", "y").applyInArrow(run, "a long, b long").distinct()
-    return cut(found, "pairs")
+    key = ["e", "tile", "x", "y"]
+    rows = rows.select("e", "tile", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", (F.col("tile") == F.col("band")).alias("home"), "node", "n", "comp")
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles come whole and in turn; the last of a batch may go on in the next."""
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest.append(batch)
+            table = pa.Table.from_batches(rest)
+            heads = tile_heads(table)
+            last = int(heads[-1])
+            if last:
+                yield pairs_in(table.slice(0, last), heads)
+                rest = table.slice(last).combine_chunks().to_batches()
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield pairs_in(table, np.append(tile_heads(table), table.num_rows))
+
+    return bounded(rows.mapInArrow(lean(run), "a long, b long"), classes)
+
+
+def tile_heads(table: pa.Table) -> np.ndarray:
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for k in range(4):
+        c = np.asarray(table.column(k))
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def pairs_in(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+    """Pairs within tiles, by sizes and components. ``heads``: where each tile begins, and where the last ends.
+
+    Rows at distance 1, 2, ... are paired for all tiles at once, as long as any is that long.
+    """
+    x, y, part = (np.asarray(table.column(k)) for k in (2, 3, 4))
+    home, node, n, comp = (np.asarray(table.column(k)) for k in (5, 6, 7, 8))
+    end = np.repeat(heads[1:], np.diff(heads))
+    live, found, k = np.arange(table.num_rows), [], 0
+    while len(live):
+        k += 1
+        live = live[live + k < end[live]]
+        i, j = live, live + k
+        ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) * 100 >= SIMILAR * np.maximum(n[i], n[j]))
+        ok &= (x[i] == y[i]) | (part[i] != part[j])
+        i, j = i[ok], j[ok]
+        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
