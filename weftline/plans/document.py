@@ -16,7 +16,7 @@ def kind_of_plugin(plugin: str) -> str:
     """The last part of a plugin's name in snake case, without the vendor's name that the first part begins with."""
     parts = plugin.split(".")
     last, vendor = parts[-1], _WORDS.split(parts[0])[0]
-    if len(parts) > 1 and last.startswith(vendor) and len(last) > len(vendor):
+    if len(parts) > 1 and last.startswith(vendor) and last[len(vendor) :][:1].isupper():
         last = last[len(vendor) :]
     special = {"RecordID": "record_id", "RegEx": "reg_ex", "BrowseV2": "browse"}
     return special.get(last, _WORDS.sub("_", last).lower())
