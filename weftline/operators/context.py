@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,8 +122,7 @@ def numbered(df: DataFrame, keys: list[tuple[str, bool]], name: str, start: int
     parts = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
     parts = parts.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    rows = F.collect_list(F.struct("__part", "__n"))
-    sizes = counts.agg(F.sort_array(rows).alias("__sizes"))  # one row for each partition
-    before = F.aggregate(F.filter("__sizes", lambda s: s["__part"] < F.col("__part")), F.lit(0).cast("long"), lambda a, s: a + s["__n"])
-    out = parts.join(F.broadcast(sizes)).withColumn(name, before + F.col("__at") + start)
-    return out.drop("__part", "__at", "__sizes")
+    before = F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")
+    offsets = counts.select(F.col("__part").alias("__p"), "__n").select("__p", before.alias("__before"))  # one row for each partition
+    out = parts.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.col("__before") + F.col("__at") + start).drop("__part", "__at", "__p", "__before")
