@@ -15,7 +15,7 @@ them. Shards are ranges of ids, so (shard, seq) is the order of the corpus, and
 stands before it: a window over shards, one over the segments of a shard, one sum within the segment.
 
 Tokenising works on distinct words: the tokenizer's rules never join across white space, so the distinct words of a
-batch are encoded once and their ids copied to every place. Frequent words stay in a bounded cache.
+batch are encoded once and their ids copied to every place. Words and their pieces stay in bounded caches.
 
 Defined results: a null text is empty and has the end id alone. Repeated ids all keep their rows, side by side, as
 range partitioning goes by (id, place in the input); null ids come first. Ids above 65,535 are not supported. A
@@ -24,9 +24,11 @@ payload that does not match its checksums raises. Empty tables give empty ones.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import coded, cut, partitions, slices, split_words, starts
+from weftline.llm.common import coded, cut, lean, partitions, slices, split_words, starts
 
 END = 1
 BLOCK, LANES, SCALE = 32768, 32, 20
 SEGMENT = 1 << 18
-CACHE_WORDS = 150_000
+CACHE_PIECES, CACHE_WORDS = 150_000, 500_000
 _HEADER, _POINT = struct.Struct("<4sBBHIIQI"), struct.Struct("<QII")
 _LOW = np.uint64(1 << 31)
 
@@ -173,43 +175,90 @@ def _decode_blocks(data: list[bytes], n: int, table: Table) -> np.ndarray:
     return out.reshape(k, -1)[:, :n]
 
 
+#: Words whose normal form and cut are plain: ASCII, and letters of Latin-1.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own cut, on lower-cased plain words.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class WordCoder:
-    """Token ids of words, through the tokenizer's own encode on distinct words."""
+    """Token ids of words. Distinct words are cut into the tokenizer's pieces, and distinct pieces are coded by its model.
+
+    That is for tokenizers that lower-case and cut as ``_PIECE`` does, for which some words are tried at the start; other
+    tokenizers, and words that are not plain, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, words: list[str], often: np.ndarray) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        fresh: dict[str, np.ndarray] = {}
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, np.uint16)
-        out = [known[w] if w in known else fresh[w] for w in words]
-        room = CACHE_WORDS - len(known)
-        if room > 0 and fresh:
-            known.update([(w, fresh[w]) for w, n in zip(words, often.tolist(), strict=True) if n > 1 and w in fresh][:room])
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint16)
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        tried = ["It's", "DON'T", "they're,", "ab12c.", "ÉtÉß!", "x-y_z", "!''ll", "<a>", "1.5%", "we've'd", "no.", "øl"]
+        self.by_piece = all(self.plain(w) == tuple(self.whole([w])[0]) for w in tried)
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        out = []
+        for a in range(0, len(words), 4096):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
         return out
 
+    def piece(self, piece: str) -> tuple[int, ...]:
+        mapped = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+        ids = tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
+        if len(self.known) < CACHE_PIECES:
+            self.known[piece] = ids
+        return ids
+
+    def plain(self, word: str) -> tuple[int, ...]:
+        known, low = self.known, word.lower()
+        pieces = [low] if low.isalpha() else _PIECE.findall(low)
+        return tuple(chain.from_iterable(known.get(p) or self.piece(p) for p in pieces))
+
+    def new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, in turn, and how many each has."""
+        out: list = [None] * len(words)
+        odd = []
+        for i, w in enumerate(words):
+            if self.by_piece and _PLAIN.fullmatch(w) and not ("<" in w and any(x in w for x in self.special)):
+                out[i] = self.plain(w)
+            else:
+                odd.append(i)
+        for i, ids in zip(odd, self.whole([words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return np.fromiter(chain.from_iterable(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out))
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each of the distinct words where its ids begin in it and how many they are."""
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1), dtype=np.int64)
+        unknown = place < 0
+        fresh = words.filter(pa.array(unknown))
+        pool, length = self.new(fresh.to_pylist())
+        at = starts(length)[:-1] + len(self.pool)
+        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[unknown], n[unknown] = at, length
+        begin[~unknown], n[~unknown] = self.at[place[~unknown]], self.length[place[~unknown]]
+        whole = np.concatenate([self.pool, pool])
+        if len(self.words) + len(fresh) <= CACHE_WORDS:
+            self.words, self.pool = pa.concat_arrays([self.words, fresh]), whole
+            self.at, self.length = np.concatenate([self.at, at]), np.concatenate([self.length, length])
+        return whole, begin, n
+
 
 def tokenise(texts: pa.Array, coder: WordCoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids, the end id after each text, and how many each text has."""
     words, n = split_words(texts)
     code, distinct = coded(words)
-    pieces = coder.encode(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)))
-    length = np.array([len(p) for p in pieces], np.int64)
-    pool, at = np.concatenate([np.zeros(0, np.uint16), *pieces]), starts(length)
+    pool, at, length = coder.encode(distinct)
     each = length[code]
     first = starts(each)
     text = np.repeat(np.arange(len(n)), n)
     ids = np.zeros(int(first[-1]) + len(n), np.uint16)
-    place = np.arange(int(first[-1])) - np.repeat(first[:-1], each)
-    ids[np.arange(int(first[-1])) + np.repeat(text, each)] = pool[place + np.repeat(at[code], each)]
+    every = np.arange(int(first[-1]))
+    ids[every + np.repeat(text, each)] = pool[every + np.repeat(at[code] - first[:-1], each)]
     tokens = np.bincount(text, weights=each, minlength=len(n)).astype(np.int64) + 1
     ids[np.cumsum(tokens) - 1] = END
     return ids, tokens
@@ -226,7 +275,7 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
         from pyspark import TaskContext
 
         shard, seq, coder = TaskContext.get().partitionId(), 0, None
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=6 << 20):
             coder = coder or WordCoder(tokenizer)
             ids, tokens = tokenise(batch.column(1), coder)
             at, cuts = starts(tokens), [0]
@@ -248,7 +297,7 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     rows = docs.select("doc_id", "text").withColumn("place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
-    return cut(rows.mapInArrow(run, f"shard long, seq long, doc_ids array<{kind}>, doc_tokens array<long>, ids binary"), "segments")
+    return cut(rows.mapInArrow(lean(run), f"shard long, seq long, doc_ids array<{kind}>, doc_tokens array<long>, ids binary"), "segments")
 
 
 def frequencies(raw: DataFrame) -> np.ndarray:
@@ -284,7 +333,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
                 yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([encode(ids, shared)], pa.binary())], [*batch.schema.names[:4], "payload"])
 
     kind = raw.schema["doc_ids"].dataType.simpleString()
-    raw.mapInArrow(run, f"shard long, seq long, doc_ids {kind}, doc_tokens array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
+    raw.mapInArrow(lean(run), f"shard long, seq long, doc_ids {kind}, doc_tokens array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(freq.tolist()) if n], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
 
 
@@ -326,7 +375,7 @@ def read(spark, path: str, with_ids: bool = True) -> DataFrame:
                         ["shard", "seq", "offset", "doc_id", "n_tokens", "ids"],
                     )
 
-    found = rows.select("shard", "seq", "doc_ids", "doc_tokens", "payload").mapInArrow(run, f"shard long, seq long, offset long, doc_id {kind}, n_tokens long, ids binary")
+    found = rows.select("shard", "seq", "doc_ids", "doc_tokens", "payload").mapInArrow(lean(run), f"shard long, seq long, offset long, doc_id {kind}, n_tokens long, ids binary")
     found = found.withColumn("ids_crc32", F.crc32("ids"))
     found = (found if with_ids else found.drop("ids")).join(begins, (F.col("shard") == F.col("s")) & (F.col("seq") == F.col("q")))
     return found.select("doc_id", (F.col("begin") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
