@@ -302,7 +302,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m"))
         large = both.join(least, F.col("x") == F.col("u")).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").distinct()
-        large = cut(large, "edges")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least.select(F.col("x").alias("u"), "m"), F.col("x") == F.col("u")).where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         edges = cut(small.union(least).distinct(), "edges")
