@@ -41,6 +41,8 @@ from weftline.llm.common import coded, cut, lean, mixed, slices, split_words, st
 
 SHINGLE, SIMILAR = 5, 80
 KEYS, BITS, TILE = 6, 1024, 512
+#: Prefix elements are dealt with in so many passes, by hash, as their shuffle is the largest.
+PASSES = 4
 #: Elements that are put last in the order, at most; those met ``LOCAL`` times or more in one batch are counted.
 POPULAR, LOCAL, LEAST = 1 << 18, 3, 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -231,10 +233,16 @@ def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     ``prefixes``: node, n, comp, prefix.
     """
-    held = prefixes.select("node", "n", "comp", F.explode("prefix").alias("e"))
-    open_ = held.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select(F.col("e").alias("oe"), "m")
-    rows = cut(held.join(open_, F.col("e") == F.col("oe")).select("e", "node", "n", "comp", "m"), "open")
-    _forget(classes)
+    prefixes, found = cut(prefixes, "prefixes"), []
+    for k in range(PASSES):  # each pass frees its shuffle files before the next
+        own = F.filter("prefix", lambda e: F.pmod(e, F.lit(PASSES)) == k)
+        held = prefixes.select("node", "n", "comp", F.explode(own).alias("e"))
+        open_ = held.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select(F.col("e").alias("oe"), "m")
+        found.append(cut(held.join(open_, F.col("e") == F.col("oe")).select("e", "node", "n", "comp", "m"), "open"))
+        _forget(classes)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
     band = F.floor(F.log("n") / float(np.log(100 / SIMILAR)) + 1e-9).cast("int")
     parts = F.ceil(F.col("m") / TILE).cast("int")
     rows = rows.withColumns({"band": band, "parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
@@ -344,7 +352,9 @@ def joined(rows: DataFrame) -> DataFrame:
         groups = comps.select("node", "comp", F.posexplode("keys").alias("k", "key"))
         found = verify(stars(groups, classes, pivot), rows)
         links = found if links is None else links.union(found)
+        _forget(rows)
         comps = cut(labelled(classes, links).select("node", "d1", "d2", "doc", "n", "keys", "bits", "comp"), "comps")
+    _forget(rows)
     prefixes = rows.select("row", "prefix").join(comps, F.col("row") == F.col("node")).select("node", "n", "comp", "prefix")
     links = links.union(verify(tiles(classes, prefixes), rows))
     comps = labelled(classes.select("node", "d1", "d2", "doc"), links)
