@@ -82,13 +82,23 @@ def prefix_length(size: int) -> int:
 
 
 def signature(elements: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(elements >> np.uint64(20)) % np.uint64(BITS)] = True
+    """As many bits as elements or more, a power of two: fuller signatures would not bound anything."""
+    n = max(BITS, 1 << (max(1, len(elements)) - 1).bit_length())
+    bits = np.zeros(n, bool)
+    bits[(elements >> np.uint64(20)) % np.uint64(n)] = True
     return np.packbits(bits).tobytes()
 
 
-def signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+def alike(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, signatures of a, of b) for rows of equal sizes; the larger signature is folded onto the smaller."""
+    sizes = np.stack([np.asarray(pc.binary_length(x), dtype=np.int64) for x in (a, b)], axis=1)
+    for la, lb in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        sides = []
+        for column, size in ((a, la), (b, lb)):
+            raw = np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint64)
+            sides.append(np.bitwise_or.reduce(raw.reshape(len(rows), size // min(la, lb), min(la, lb) // 8), axis=1))
+        yield rows, *sides
 
 
 def bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -221,7 +231,9 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-                keep = bound(signatures(batch.column(4)), na, signatures(batch.column(5)), nb) >= needed(na, nb)
+                keep = np.zeros(batch.num_rows, bool)
+                for rows, x, y in alike(batch.column(4), batch.column(5)):
+                    keep[rows] = bound(x, na[rows], y, nb[rows]) >= needed(na[rows], nb[rows])
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     close = F.least("size_a", "size_b") * 100 >= SIMILAR * F.greatest("size_a", "size_b")
