@@ -40,7 +40,7 @@ from weftline.llm.common import coded, cut, lean, partitions, slices, split_word
 
 END = 1
 BLOCK, LANES, SCALE = 32768, 32, 20
-SEGMENT = 1 << 18
+SEGMENT = 1 << 20
 CACHE_PIECES, CACHE_WORDS = 150_000, 500_000
 _HEADER, _POINT = struct.Struct("<4sBBHIIQI"), struct.Struct("<QII")
 _LOW = np.uint64(1 << 31)
@@ -248,6 +248,16 @@ class WordCoder:
         return whole, begin, n
 
 
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder_of(path: str) -> WordCoder:
+    """A worker's coder, with what it has learned in earlier tasks."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
+
+
 def tokenise(texts: pa.Array, coder: WordCoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids, the end id after each text, and how many each text has."""
     words, n = split_words(texts)
@@ -274,10 +284,9 @@ def segments(docs: DataFrame, tokenizer: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        shard, seq, coder = TaskContext.get().partitionId(), 0, None
+        shard, seq = TaskContext.get().partitionId(), 0
         for batch in slices(batches, most=6 << 20):
-            coder = coder or WordCoder(tokenizer)
-            ids, tokens = tokenise(batch.column(1), coder)
+            ids, tokens = tokenise(batch.column(1), coder_of(tokenizer))
             at, cuts = starts(tokens), [0]
             for i in range(1, len(at)):
                 if at[i] - at[cuts[-1]] >= SEGMENT or i == len(at) - 1:
