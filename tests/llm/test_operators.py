@@ -163,6 +163,26 @@ def test_line_quality_limits(docs):
     assert all(got[100 + i].kept == (i >= 8) for i in range(11))
 
 
+def test_line_quality_repeated_passages(docs):
+    """Production limits: passages of over 50 words, in few documents of one host or in a few of each of many hosts."""
+
+    def text(i, shared=()):
+        return "\n".join([" ".join(f"own{i}x{j}" for j in range(60)), *(" ".join(f"{s}{j}" for j in range(55)) for s in shared)])
+
+    most, everywhere = line_quality.MAX_DOCS, line_quality.MAX_ALL
+    rows = [(i, text(i, ["local"]), "en", "h0") for i in range(most + 1)]
+    rows += [(100 + i, text(100 + i, ["few"]), "en", "h0") for i in range(most)]
+    rows += [(200 + i, text(200 + i, ["spread"]), "en", f"h{i % 10}") for i in range(everywhere + 1)]
+    rows += [(300 + i, text(300 + i, ["rare"]), "en", f"h{i % 10}") for i in range(everywhere)]
+    rows += [(400 + i, text(400 + i, ["spread", "spread twin"]), "en", None) for i in range(1)]
+    rows += [(500 + i, text(500 + i, ["local", "spread", "few"]), "en", "h1") for i in range(1)]
+    rows += [(1000 + i, text(1000 + i), "en", "h0") for i in range(600)]
+    got = {r.doc_id: r.words_removed for r in line_quality.judge(docs(rows)).collect()}
+    want = {0: 55, 1: 0, 2: 55, 3: 0, 4: 55, 5: 55}
+    assert got == {i: want.get(i // 100, 0) for i, *_ in rows}
+    assert {(r.host, r.n) for r in line_quality.remove_lines(docs(rows)).collect()} >= {("h0", most + 1), (None, 1)}
+
+
 def test_line_quality_odd(docs):
     got = line_quality.judge(docs(ODD)).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted((r[0] or 0, len(WORD.findall(r[1] or ""))) for r in ODD)

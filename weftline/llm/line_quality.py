@@ -1,8 +1,10 @@
 """Quality rules: base counts of a text, and cross-document line frequency.
 
 Lines are normalised (ASCII lower case, words joined by one space) and hashed to 64 bits; a line counts once for each
-document of a host. Lines found in more documents of a host than both limits allow (a number, and a share of the
-host's documents) are removed; documents that then keep less than ``keep_share`` of their words are depleted.
+document. Lines found in more than ``max_docs`` documents of a host are removed there, lines found in more than
+``max_all`` documents of all hosts are removed everywhere; neither number depends on how large a host is (a caller may
+ask for a share of the host's documents besides). Documents that then keep less than ``keep_share`` of their words are
+depleted.
 
 One pass over the texts yields the counts and, for each document, arrays of its distinct lines' hashes and of the
 words they hold; that table is cut. Counting is a partial aggregation by (host, line), so a line that a third of all
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import coded, cut, slices, split_words, starts
 
-MAX_DOCS, MAX_SHARE, KEEP_SHARE = 50, 0.002, 0.5
+MAX_DOCS, MAX_ALL, KEEP_SHARE = 6, 12, 0.5
 MIN_WORDS = 50
 _SYMBOLS = r"[#*$%&|<>]"
 _SCHEMA = "row long, doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
@@ -107,13 +109,23 @@ def counts(docs: DataFrame, host: str = "source") -> DataFrame:
     return cut(rows.mapInArrow(count, _SCHEMA.format(id=kind["doc_id"], host=kind["host"])), "lines")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def frequent(rows: DataFrame, max_docs: int, max_all: int, max_share: float) -> DataFrame:
+    """(host, line, n): the lines above the limits, for each host that has them. ``n``: the host's documents with it."""
+    of_host = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    everywhere = of_host.groupBy(F.col("line").alias("l")).agg(F.sum("n").alias("all")).where(F.col("all") > max_all)
+    many = F.col("n") > max_docs
+    if max_share:
+        per_host = rows.groupBy(F.col("host").alias("h")).agg((F.count("*") * F.lit(max_share)).alias("most"))
+        of_host = of_host.join(per_host, F.col("host").eqNullSafe(F.col("h")))
+        many &= F.col("n") > F.col("most")
+    return of_host.join(everywhere, F.col("line") == F.col("l"), "left").where(many | F.col("all").isNotNull()).select("host", "line", "n")
+
+
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, keep_share: float = KEEP_SHARE, max_all: int = MAX_ALL) -> DataFrame:
     """Base counts with base_failed, words_removed (those of lines above the limits) and kept, for every row."""
     rows = counts(docs, host)
-    per_host = rows.groupBy(F.col("host").alias("h")).agg((F.count("*") * F.lit(max_share)).alias("most"))
+    often = frequent(rows, max_docs, max_all, max_share).select(F.col("host").alias("h"), F.col("line").alias("often"))
     lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    often = often.join(per_host, F.col("host").eqNullSafe(F.col("h"))).where("n > most").select("h", F.col("line").alias("often"))
     lost = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often")))
     lost = lost.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words_removed"))
     out = rows.drop("lines", "line_words").join(lost, F.col("row") == F.col("r"), "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)))
@@ -122,9 +134,6 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "r")
 
 
-def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, max_all: int = MAX_ALL) -> DataFrame:
     """(host, line, n): hashes of the lines above the limits, for those who rewrite texts."""
-    rows = counts(docs, host)
-    per_host = rows.groupBy(F.col("host").alias("h")).agg((F.count("*") * F.lit(max_share)).alias("most"))
-    often = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    return often.join(per_host, F.col("host").eqNullSafe(F.col("h"))).where("n > most").select("host", "line", "n")
+    return frequent(counts(docs, host), max_docs, max_all, max_share)
