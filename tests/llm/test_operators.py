@@ -495,6 +495,21 @@ def test_pii_bootstrap(docs):
     assert pii.find(docs([])).count() == 0
 
 
+def test_pii_bootstrap_grows(docs):
+    """E-mails without a digit seed; what one pattern finds makes another confident, also at the start of a text."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"for questions write to {name(i)}@example.org today") for i in range(60)]
+    rows += [(100 + i, f"for questions write to KD{40000 + i} today") for i in range(10)]
+    rows += [(200 + i, f"send it to account KD{40000 + i} now") for i in range(10)]
+    rows += [(300 + i, f"send it to account {'KD' if i else 'QX'}{50000 + i} now") for i in range(3)]
+    rows += [(400 + i, f"Account KD{40000 + i}") for i in range(10)] + [(410, "account 123-45-6789"), (411, "  Account 987-65-4321 is hers")]
+    rows += [(500 + i, f"the page number {1000000 + i} is dull") for i in range(20)] + [(600 + i, f"1{i:05d} tons of it") for i in range(20)]
+    found = {r.doc_id: [(s.start, s.end, s.s) for s in r.id] for r in pii.find(docs(rows, extra=True)).collect()}
+    for i, text, *_ in rows:
+        want = re.findall(r"[A-Z]{2}[0-9]{5}|[0-9]{3}-[0-9-]+", text) if 100 <= i < 500 else []
+        assert found[i] == [(text.index(w), text.index(w) + len(w), w) for w in want], text
+
+
 def test_schema_is_that_of_documents(spark):
     if DATA.exists():
         assert [f.name for f in DOCUMENTS] == spark.read.parquet(f"{DATA}/documents.parquet").columns

@@ -1,10 +1,17 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction. DataFrame functions only.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by their form. Those spans seed the bootstrap:
-every token with a digit is a candidate instance, the two words before it are its lexical pattern. Over the graph of
-patterns and instances, a pattern's confidence is the mean score of its distinct instances, shrunk towards 0, and a
-new instance's score is the chance that not all its patterns err; seeds keep score 1. After some rounds, instances
-above the threshold are reported with kind ``id``, wherever one of their confident patterns precedes them.
+each is an instance, and so is every other token with a digit or an at sign. Its lexical patterns are the two words
+before it and the one word before it; the start of the text counts as words. Tokens inside a span are part of that
+instance and none of their own.
+
+Over the graph of all patterns and instances, a pattern's confidence is the mean score of its distinct instances,
+shrunk towards 0. Each round admits the patterns that hold ``MIN_SEEDS`` instances found so far, be they base spans or
+discovered in earlier rounds, and whose confidence is ``ADMIT``; a new instance's score is the chance that not all its
+admitted patterns err (patterns with the same last word count once, as the best of them), so what one pattern
+discovers can make the next pattern confident. Tokens that don't look like identifiers keep score 0, seeds score 1.
+After the rounds, instances above the threshold are reported with kind ``id``, wherever one of their confident
+patterns precedes them.
 
 All texts are read once; spans and candidates are cut as a table without texts. Patterns and instances are aggregated
 before each join, so a pattern that a third of all rows share costs each task one row. Repetitions in the expressions
@@ -28,12 +35,15 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
-# A word, and ahead of it another word and a token with a digit.
+# A word, and ahead of it another word and a token with a digit or an at sign.
 _WS, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-_NEAR = rf"(?<!{_WORD})({_WORD}++){_WS}++(?=({_WORD}++)({_WS}++)((?:(?![0-9]){_WORD})*+[0-9]{_WORD}*+))"
+_NEAR = rf"(?<!{_WORD})({_WORD}++){_WS}++(?=({_WORD}++)({_WS}++)((?:(?![0-9@]){_WORD})*+[0-9@]{_WORD}*+))"
 _CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
 
-ROUNDS, SHRINK, MIN_SEEDS, THRESHOLD = 3, 2.0, 3, 0.75
+# Two words that stand for the start of a text.
+_START = "\x02 \x02 "
+
+ROUNDS, SHRINK, MIN_SEEDS, ADMIT, THRESHOLD = 3, 2.0, 3, 0.5, 0.75
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -68,18 +78,26 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a digit as array of (start, end, pattern, instance); the outer punctuation is no part of a token."""
-    near = matches(text, _NEAR)
-    group = lambda k: F.regexp_extract_all(text, F.lit(_NEAR), F.lit(k))
+    """Tokens with a digit or an at sign as array of (start, end, token, one, two, instance).
+
+    ``start`` and ``end`` are those of the instance, without the outer punctuation; ``token`` is where the token starts.
+    """
+    led = F.concat(F.lit(_START), text)
+    near = matches(led, _NEAR)
+    group = lambda k: F.regexp_extract_all(led, F.lit(_NEAR), F.lit(k))
     rows = F.arrays_zip(near.alias("m"), group(1).alias("w1"), group(2).alias("w2"), group(3).alias("gap"), group(4).alias("token"))
 
     def one(x: Column) -> Column:
         core = F.regexp_extract(x["token"], rf"(?s){_CORE}", 0)
-        begin = x["m"]["end"] + F.length(x["w2"]) + F.length(x["gap"]) + F.instr(x["token"], core) - 1
-        pattern = F.regexp_replace(F.lower(F.concat_ws(" ", x["w1"], x["w2"])), "[0-9]+", "0")
-        return F.struct(begin.cast("int").alias("start"), (begin + F.length(core)).cast("int").alias("end"), pattern.alias("pattern"), core.alias("instance"))
+        token = x["m"]["end"] + F.length(x["w2"]) + F.length(x["gap"]) - len(_START)
+        begin = token + F.instr(x["token"], core) - 1
+        general = lambda words: F.regexp_replace(F.lower(words), "[0-9]+", "0")
+        return F.struct(
+            begin.cast("int").alias("start"), (begin + F.length(core)).cast("int").alias("end"), token.cast("int").alias("token"),
+            general(x["w2"]).alias("one"), general(F.concat_ws(" ", x["w1"], x["w2"])).alias("two"), core.alias("instance"),
+        )
 
-    return F.when(text.rlike("[0-9]"), F.transform(rows, one)).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string>>"))
+    return F.when(text.rlike("[0-9@]"), F.transform(rows, one)).otherwise(F.array().cast("array<struct<start:int,end:int,token:int,one:string,two:string,instance:string>>"))
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
@@ -87,20 +105,19 @@ def bootstrap(edges: DataFrame) -> DataFrame:
 
     ``edges``: pattern, instance, seed (1 or 0), plausible (1 or 0); each pair once.
     """
-    seeds = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    live = edges.join(seeds.select(F.col("pattern").alias("p")), F.col("pattern") == F.col("p")).drop("p")
-    live = cut(live, "edges")
-    scores = live.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    confidence = None
+    live = cut(edges.withColumn("tail", F.substring_index("pattern", " ", -1)), "edges")
+    seeds = live.where("seed = 1").select("instance", F.lit(1.0).alias("score")).distinct()
+    scores = seeds
+    admitted = None
     for _ in range(ROUNDS):
-        scored = live.join(scores, "instance")
-        confidence = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(SHRINK))).alias("confidence"))
-        backed = live.join(confidence, "pattern")
-        fresh = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        scores = backed.groupBy("instance").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(fresh).alias("score"))
-        scores = cut(scores, "scores")
+        scored = live.join(scores, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        confidence = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(SHRINK))).alias("confidence"), F.count_if(F.col("score") >= THRESHOLD).alias("found"))
+        admitted = cut(confidence.where((F.col("found") >= MIN_SEEDS) & (F.col("confidence") >= ADMIT)).select("pattern", "confidence"), "patterns")
+        backed = live.where("plausible = 1").join(admitted, "pattern").groupBy("instance", "tail").agg(F.max("confidence").alias("confidence"))
+        fresh = backed.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
+        scores = cut(seeds.unionByName(fresh).groupBy("instance").agg(F.max("score").alias("score")), "scores")
     kept = scores.where(F.col("score") >= THRESHOLD).select("instance")
-    strong = confidence.where(F.col("confidence") >= THRESHOLD).select("pattern")
+    strong = admitted.where(F.col("confidence") >= THRESHOLD).select("pattern")
     return live.where("seed = 0 and plausible = 1").join(kept, "instance").join(strong, "pattern").select("pattern", "instance")
 
 
@@ -110,9 +127,12 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = cut(rows.select("row", "doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), candidates(F.col("text")).alias("near")), "spans")
     base = F.concat(*KINDS)
-    inside = F.exists(F.col("base"), lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    each = rows.where(F.size("near") > 0).select("row", base.alias("base"), F.explode("near").alias("c"))
-    each = each.select("row", "c.*", inside.cast("int").alias("seed"))
+    held = F.filter(F.col("base"), lambda b: (b["start"] < F.col("c.end")) & (F.col("c.token") < b["end"]))
+    each = rows.where(F.size("near") > 0).select("row", base.alias("base"), F.explode("near").alias("c")).where("c.instance != ''")
+    each = each.select("row", "c.*", held.alias("held")).where(~F.exists("held", lambda b: b["start"] < F.col("token")))
+    seed = F.size("held") > 0
+    instance = F.when(seed, F.get("held", F.lit(0))["s"]).otherwise(F.col("instance"))
+    each = each.select("row", "start", "end", F.explode(F.array("one", "two")).alias("pattern"), instance.alias("instance"), seed.cast("int").alias("seed"))
     form = (F.length("instance") >= 6) & (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= 4)
     edges = each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max(form.cast("int")).alias("plausible"))
     new = bootstrap(edges).select(F.col("pattern").alias("p"), F.col("instance").alias("i"))
