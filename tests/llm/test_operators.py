@@ -58,6 +58,28 @@ def test_trigram_counts():
         assert (v[i] == one[place[row == i]].sum(axis=0)).all()
 
 
+@needs_data
+def test_unlearned_scripts_are_rejected(spark, docs):
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    prototypes = language_id.learn(table, F.lit(True))
+    rng, rows = random.Random(5), []
+    for first, letters, most in ((0x430, 32, 9), (0x4E00, 3000, 3), (0x5D0, 27, 7), (0x905, 50, 8)):
+        for _ in range(50):
+            words = ("".join(chr(first + rng.randrange(letters)) for _ in range(rng.randint(1, most))) for _ in range(150))
+            rows.append((len(rows), " ".join(words)))
+    assert language_id.with_language(docs(rows), prototypes).count() == 0
+    assert language_id.with_language(table, prototypes).count() == table.count()
+
+
+def test_bundles_in_pieces(monkeypatch):
+    letters, rng = language_id.Letters(64), random.Random(6)
+    texts = ["".join(rng.choice("abcdef -") for _ in range(50)) for _ in range(9)]
+    found = language_id.trigrams(texts, letters)
+    whole = language_id.bundles(*found, 9, letters)
+    monkeypatch.setattr(language_id, "HELD", 64 * 7)
+    assert (language_id.bundles(*found, 9, letters) == whole).all()
+
+
 def test_language_odd(docs):
     df = docs(ODD, extra=True)
     found = language_id.identify(df, language_id.learn(df, F.lit(True))).collect()

@@ -5,6 +5,9 @@ Every letter has a random vector of +1 and -1 that depends on nothing but the le
 trigrams; a language's prototype bundles those of all its training texts. A text gets the language whose prototype,
 less the mean of all prototypes, has the highest cosine with its own profile.
 
+A text that shares no trigram with any prototype has a cosine of about 1/sqrt(``DIMENSIONS``) by chance, 0.011; what
+``with_language`` asks for is well above that.
+
 Bundling is linear, so trigrams are counted first and the counts multiplied with the code book; training needs one
 product for each language of a batch. Each task sends one vector for each language it saw: what is collected is
 languages x dimensions numbers, however many the documents are.
@@ -26,7 +29,9 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import slices
 
-DIMENSIONS = 512
+DIMENSIONS = 8192
+#: Numbers held at once: of the code book, of profiles.
+HELD = 8 << 20
 UNDETERMINED = "und"
 _SEED = 0x5EED
 
@@ -87,11 +92,15 @@ def trigrams(texts: list[str | None], letters: Letters) -> tuple[np.ndarray, np.
 def bundles(row: np.ndarray, place: np.ndarray, distinct: np.ndarray, rows: int, letters: Letters) -> np.ndarray:
     """The profile of each row. The code book is made in pieces, so that any alphabet fits in memory."""
     out = np.zeros((rows, letters.dimensions), np.float64)
-    for g in range(0, len(distinct), 16384):
-        book = letters.code_book(distinct[g : g + 16384])
+    size = max(1, HELD // letters.dimensions)
+    if len(distinct) > size:
+        order = np.argsort(place // size, kind="stable")
+        row, place = row[order], place[order]
+    ends = np.searchsorted(place // size, np.arange(-(-len(distinct) // size) + 1))
+    for k, g in enumerate(range(0, len(distinct), size)):
+        book = letters.code_book(distinct[g : g + size])
         n, step = len(book), max(1, (2 << 20) // len(book))
-        inside = (place >= g) & (place < g + n) if len(distinct) > n else slice(None)
-        r, p = row[inside], place[inside] - g
+        r, p = row[ends[k] : ends[k + 1]], place[ends[k] : ends[k + 1]] - g
         for a in range(0, rows, step):
             b = min(rows, a + step)
             lo, hi = (0, len(r)) if step >= rows else np.searchsorted(r, [a, b])
@@ -140,7 +149,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(dimensions)
-        for batch in slices(batches, column="__text", most=1 << 20):
+        most = max(1, HELD // dimensions)
+        for batch in (part.slice(a, most) for part in slices(batches, column="__text", most=1 << 20) for a in range(0, part.num_rows, most)):
             rows = batch.num_rows
             row, place, distinct = trigrams(batch.column(batch.num_columns - 1).to_pylist(), letters)
             has = np.bincount(row, minlength=rows) > 0
