@@ -205,6 +205,21 @@ def test_line_quality_repeated_passages(docs):
     assert {(r.host, r.n) for r in line_quality.remove_lines(docs(rows)).collect()} >= {("h0", most + 1), (None, 1)}
 
 
+def test_line_quality_texts(docs):
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    text = lambda i: f"  {own(i)}\r\n\n\tSubscribe  NOW é\n{own(i + 1000)}  \nsubscribe now é\n\nlast"
+    rows = [(i, text(i), "en", "h") for i in range(9)] + [(3, text(3), "en", "h"), (50, text(50), "en", "g"), (60, "Subscribe now é\n" * 3, "en", "h"), (61, None, "en", "h")]
+    rows += [(70 + i, f"{own(70 + i)}\n \nseldom", "en", None) for i in range(2)]
+    got = line_quality.clean(docs(rows, extra=True))
+    assert got.columns == [*line_quality.judge(docs(rows)).columns, "text"]
+    left = lambda i: f"  {own(i)}\r\n\n{own(i + 1000)}  \n\n"  # noqa: E731  ("last" too is in nine documents)
+    want = [(i, left(i)[:-1]) for i in [*range(9), 3]] + [(50, text(50)), (60, None), (61, None), *((r[0], r[1]) for r in rows[-2:])]
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted((i, t or "") for i, t in want)
+    odd = line_quality.clean(docs(ODD)).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in odd) == sorted((r[0] or 0, len(WORD.findall(r[1] or ""))) for r in ODD)
+    assert line_quality.clean(docs([])).count() == 0
+
+
 def test_line_quality_odd(docs):
     got = line_quality.judge(docs(ODD)).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted((r[0] or 0, len(WORD.findall(r[1] or ""))) for r in ODD)

@@ -6,6 +6,10 @@ document. Lines found in more than ``max_docs`` documents of a host are removed
 ask for a share of the host's documents besides). Documents that then keep less than ``keep_share`` of their words are
 depleted.
 
+``clean`` adds each kept text less its removed lines. It reads the texts again and joins what they lose by a hash of
+host and text, so that only this second pass shuffles texts, once, and no numbering of rows has to hold over two reads;
+equal texts of a host lose the same lines.
+
 One pass over the texts yields the counts and, for each document, arrays of its distinct lines' hashes and of the
 words they hold; that table is cut. Counting is a partial aggregation by (host, line), so a line that a third of all
 documents share costs each task one row. Only lines above the limits are joined back, and what they take from a
@@ -31,7 +35,7 @@ from weftline.llm.common import coded, cut, slices, split_words, starts
 MAX_DOCS, MAX_ALL, KEEP_SHARE = 6, 12, 0.5
 MIN_WORDS = 50
 _SYMBOLS = r"[#*$%&|<>]"
-_SCHEMA = "row long, doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_SCHEMA = "row long, key long, doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def repeated_words(code: np.ndarray, n: np.ndarray, distinct: int) -> np.ndarray:
@@ -58,6 +62,17 @@ def repeated_words(code: np.ndarray, n: np.ndarray, distinct: int) -> np.ndarray
     return out
 
 
+def line_hash(words: list[bytes]) -> int:
+    h = xxhash.xxh3_64_intdigest(b" ".join(words).lower())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def without(text: str, lines: set[int]) -> str:
+    """The text less the lines with these hashes; all else stays as it is."""
+    kept = [x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if line_hash(x.split()) not in lines or not x.split()]
+    return b"\n".join(kept).decode("utf-8", "surrogatepass")
+
+
 def line_counts(text: str | None) -> tuple[int, list[int], list[int]]:
     """Repeated lines; hashes and words of distinct normalised lines, each with all its occurrences' words."""
     seen, raw, repeats = {}, set(), 0
@@ -66,9 +81,13 @@ def line_counts(text: str | None) -> tuple[int, list[int], list[int]]:
         if words:
             repeats += line in raw
             raw.add(line)
-            h = xxhash.xxh3_64_intdigest(b" ".join(words).lower())
+            h = line_hash(words)
             seen[h] = seen.get(h, 0) + len(words)
-    return repeats, [h - (1 << 64) if h >> 63 else h for h in seen], list(seen.values())
+    return repeats, list(seen), list(seen.values())
+
+
+def texts_of(docs: DataFrame, host: str) -> DataFrame:
+    return docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64(host, "text").alias("key"))
 
 
 def counts(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -90,6 +109,7 @@ def counts(docs: DataFrame, host: str = "source") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + len(n))),
+                    batch.column(3),
                     batch.column(0),
                     batch.column(1),
                     pa.array(n.astype(np.int64)),
@@ -100,11 +120,11 @@ def counts(docs: DataFrame, host: str = "source") -> DataFrame:
                     pa.array([x[1] for x in lines], pa.list_(pa.int64())),
                     pa.array([x[2] for x in lines], pa.list_(pa.int32())),
                 ],
-                ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+                ["row", "key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
             )
             row += len(n)
 
-    rows = docs.select("doc_id", F.col(host).alias("host"), "text")
+    rows = texts_of(docs, host)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     return cut(rows.mapInArrow(count, _SCHEMA.format(id=kind["doc_id"], host=kind["host"])), "lines")
 
@@ -123,17 +143,44 @@ def frequent(rows: DataFrame, max_docs: int, max_all: int, max_share: float) ->
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, keep_share: float = KEEP_SHARE, max_all: int = MAX_ALL) -> DataFrame:
     """Base counts with base_failed, words_removed (those of lines above the limits) and kept, for every row."""
+    return judged(docs, host, max_docs, max_share, keep_share, max_all).drop("key", "removed")
+
+
+def judged(docs: DataFrame, host: str, max_docs: int, max_share: float, keep_share: float, max_all: int) -> DataFrame:
+    """What ``judge`` gives, with the key of host and text and the hashes of the lines that the row loses."""
     rows = counts(docs, host)
     often = frequent(rows, max_docs, max_all, max_share).select(F.col("host").alias("h"), F.col("line").alias("often"))
     lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     lost = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often")))
-    lost = lost.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words_removed"))
+    lost = lost.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed"))
     out = rows.drop("lines", "line_words").join(lost, F.col("row") == F.col("r"), "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("words_removed") < keep_share * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "r")
 
 
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, keep_share: float = KEEP_SHARE, max_all: int = MAX_ALL) -> DataFrame:
+    """What ``judge`` gives for every row, and ``text``: a kept row's text less its removed lines, null for other rows."""
+    found = judged(docs, host, max_docs, max_share, keep_share, max_all)
+    names = [c for c in found.columns if c not in ("key", "doc_id", "host")]
+    of_key = found.groupBy(F.col("key").alias("k")).agg(F.first(F.struct(*names)).alias("f"))  # all rows of a key are alike
+    rows = texts_of(docs, host).join(of_key, F.col("key") == F.col("k"), "left").select("doc_id", "host", "f.*", F.when(F.col("f.kept"), F.col("text")).alias("text"))
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch]):
+                at = part.schema.get_field_index("removed")
+                text, removed = part.column(part.num_columns - 1), part.column(at)
+                losing = np.asarray(pc.and_(pc.fill_null(pc.greater(pc.list_value_length(removed), 0), False), text.is_valid()))
+                if losing.any():
+                    left = [without(t, set(r)) for t, r in zip(text.filter(losing).to_pylist(), removed.filter(losing).to_pylist(), strict=True)]
+                    text = pc.replace_with_mask(text, pa.array(losing), pa.array(left, text.type))
+                columns = [*part.columns[:at], *part.columns[at + 1 : -1], text]
+                yield pa.RecordBatch.from_arrays(columns, [*(c for c in part.schema.names[:-1] if c != "removed"), "text"])
+
+    return rows.mapInArrow(rewrite, rows.drop("removed").schema)
+
+
 def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, max_all: int = MAX_ALL) -> DataFrame:
-    """(host, line, n): hashes of the lines above the limits, for those who rewrite texts."""
+    """(host, line, n): hashes of the lines above the limits, as ``clean`` removes them."""
     return frequent(counts(docs, host), max_docs, max_all, max_share)

@@ -26,8 +26,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_quality.judge(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = line_quality.clean(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text")
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
