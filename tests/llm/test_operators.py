@@ -417,7 +417,7 @@ def test_jaccard_components(docs, seed):
 def test_jaccard_tiles_alone(docs, monkeypatch):
     """Without the stars' links, and with small tiles, the tiles find every link by themselves."""
     monkeypatch.setattr(jaccard_join, "TILE", 3)
-    monkeypatch.setattr(jaccard_join, "stars", lambda groups, classes, pivot: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "stars", lambda groups, classes, turn: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     rows = near_copies(3)
     got = sorted(tuple(r) for r in jaccard_join.join(docs(rows)).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute_components(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,14 +25,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share. A local one is made up only where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -40,10 +46,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _written:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def written() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``cut`` writes meanwhile, for ``drop``."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written[:] = [x for x in _written if x is not paths]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,3 +144,24 @@ def starts(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=out[1:])
     return out
+
+
+def dealt(place: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, rows) of each part that has rows. ``place``: the part of each row, below ``n``; rows keep their order."""
+    order = np.argsort(place.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
+    ends = np.cumsum(np.bincount(place, minlength=n))
+    for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        yield k, order[ends[k - 1] if k else 0 : ends[k]]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, list]:
+    """All rows of a partition, by column."""
+    out: dict[str, list] = {}
+    for batch in batches:
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            out.setdefault(name, []).extend(column.to_pylist())
+    return out
+
+
+def numbers(blobs: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)

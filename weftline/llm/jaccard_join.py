@@ -4,25 +4,30 @@ A document's set holds its distinct word 5-grams. Two sets link at Jaccard simil
 join finds every link that connects anything: documents of equal sets form one class first (copies meet in an
 aggregation, never in pairs), and what is returned are the components of classes under links.
 
-1. Stars. Classes that agree in one of ``KEYS`` minimum hashes are compared with one pivot of their group. This joins
-   nearly all near copies at a number of pairs that grows with the classes, not with the square of a group.
-2. Tiles. Any two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of each, in any fixed order
-   of elements. The order here is by hash, after which come the most frequent elements (a table of bounded size, counted over all
-   documents), so passages that many documents share are no reason to compare them. Elements whose holders are all in
-   one component already are dropped. The others' holders meet in tiles of (element, band of set sizes); a set
-   meets its own band and the one below. A tile of more than ``TILE`` holders is dealt out as pairs of its parts.
+1. Order. Any two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of each, their prefixes, in any
+   fixed order of elements. The order here is by frequency, then by hash: elements of all texts are counted, and a
+   table of ``CELLS`` bytes holds the logarithm of the highest count that falls into each cell. Few others hold what is
+   in a prefix then, and passages that many documents share are no reason to compare them.
+2. Stars. Classes that agree in one of ``KEYS`` minimum hashes are compared with one pivot of their group, and again
+   with other pivots as long as that joins any (``ROUNDS`` times at most). Nearly all near copies are joined by this,
+   at a number of pairs that grows with the classes, not with the square of a group.
+3. Tiles. Prefix elements whose holders are all in one component already are dropped. The others' holders meet in
+   tiles of (element, band of set sizes); a set meets its own band and the one below. The holders in the element's
+   largest component never meet each other, only the rest, so that a group of near copies costs its stragglers times
+   its size and not its square. Each side is dealt into parts of ``TILE`` holders.
 
 Within stars and tiles, bit counts of the signatures bound the overlap from above (each bit that only one set has is
-an element that the other lacks); pairs that may reach the threshold are verified by intersecting sorted arrays.
-The components come from large-star and small-star steps, each an aggregation and a join.
+an element that the other lacks) before a pair is emitted; pairs that may reach the threshold are verified by
+intersecting sorted arrays. The components come from large-star and small-star steps, each an aggregation and a join.
 
-Elements are 64-bit hashes, classes 128-bit digests. Texts are stored once beside the hashes, and are joined to
-candidate pairs only.
+Elements are 64-bit hashes, classes 128-bit digests. Counts of elements are shuffled as packed arrays, one row for
+each task and range of hashes. Texts are stored once beside the hashes, and are joined to candidate pairs only; a bit
+table of fixed size tells beforehand which texts no pair needs (some needless ones pass, no needed one is lost).
 
 Defined results: null, empty and all-space texts have no set (size 0) and link with nothing: their component is their
-own id. Texts of under 5 words have one element, their whole sequence. Repeated ids keep their rows; rows of equal
-text are one class whatever their ids. A component of rows whose ids are all null has a null id. No rows, no rows.
-Other columns are ignored.
+own id. Texts of under 5 words have one element, their whole sequence. Very long texts are whole sets like all others,
+with longer signatures. Repeated ids keep their rows; rows of equal text are one class whatever their ids. A component
+of rows whose ids are all null has a null id. No rows, no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import coded, cut, lean, mixed, slices, split_words, starts
+from weftline.llm.common import coded, cut, dealt, gathered, lean, mixed, numbers, partitions, slices, split_words, starts
 
 SHINGLE, SIMILAR = 5, 80
-KEYS, BITS, TILE = 6, 1024, 512
-#: Prefix elements are dealt with in so many passes, by hash, as their shuffle is the largest.
-PASSES = 4
-#: Elements that are put last in the order, at most; those met ``LOCAL`` times or more in one batch are counted.
-POPULAR, LOCAL, LEAST = 1 << 18, 3, 8
+KEYS, BITS, TILE, ROUNDS = 6, 1024, 512, 5
+#: Of the frequency table, a byte each; counts under LEAST are not told apart.
+CELLS, LEAST = 1 << 24, 4
+#: Of the tables that tell which elements or rows may be wanted.
+WANTED = 1 << 23
+#: Elements that a task gathers before it deals them out.
+HELD = 1 << 21
+#: Pairs of signatures compared at once.
+CHUNK = 1 << 15
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _KEY = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD[4])
@@ -108,32 +117,62 @@ def bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.nd
     return np.minimum(na - lacks, nb - other)
 
 
-def popular(docs: DataFrame) -> np.ndarray:
-    """The most frequent elements, sorted: at most POPULAR. Any choice gives right results, a good one fast ones."""
+def frequency_levels(docs: DataFrame) -> np.ndarray:
+    """CELLS bytes: for each cell of elements (their low bits), the logarithm of the highest number of texts with one.
+
+    Any order of elements gives right results; this one is bounded in size and blurs as cells fill up.
+    """
+    ranges = partitions(docs.sparkSession)
+
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+        low, n = np.unique(np.concatenate(held).astype(np.uint32), return_counts=True)
+        parts = list(dealt(((low.astype(np.int64) % CELLS) * ranges // CELLS), ranges))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([low[rows].tobytes() for _, rows in parts], pa.binary()), pa.array([n[rows].astype(np.uint32).tobytes() for _, rows in parts], pa.binary())],
+            ["range", "e", "n"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in slices(batches, most=4 << 20):
-            elements, _ = shingle_sets(batch.column(0))
-            elements.sort()
-            heads = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, int)
-            n = np.diff(np.append(heads, len(elements)))
-            often = n >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(elements[heads[often]].view(np.int64)), pa.array(n[often])], ["e", "n"])
-
-    counted = docs.select("text").mapInArrow(lean(count), "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "e").limit(POPULAR).select("e").toArrow()
-    return np.sort(np.asarray(rows.column(0).combine_chunks(), dtype=np.int64).view(np.uint64))
+            held.append(shingle_sets(batch.column(0))[0].astype(np.uint32))
+            size += len(held[-1])
+            if size >= HELD:
+                yield deal(held)
+                held, size = [], 0
+        if size:
+            yield deal(held)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches)
+        if got:
+            k = got["range"][0]
+            low, n = numbers(got["e"], "u4"), numbers(got["n"], "u4").astype(np.int64)
+            order = np.argsort(low, kind="stable")
+            low, heads = np.unique(low[order], return_index=True)
+            n = np.add.reduceat(n[order], heads)
+            often = n >= LEAST
+            first, end = -(-k * CELLS // ranges), -(-(k + 1) * CELLS // ranges)
+            cells = np.zeros(end - first, np.uint8)
+            np.maximum.at(cells, low[often].astype(np.int64) % CELLS - first, np.log2(n[often]).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([cells.tobytes()], pa.binary())], ["first", "cells"])
+
+    counted = docs.select("text").mapInArrow(lean(count), "range int, e binary, n binary").repartitionById(ranges, "range")
+    out = np.zeros(CELLS, np.uint8)
+    for first, cells in counted.mapInArrow(lean(level), "first long, cells binary").toLocalIterator():  # CELLS bytes in all
+        out[first : first + len(cells)] = np.frombuffer(cells, np.uint8)
+    return out
 
 
 def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
     """row, doc_id, n, d1, d2 (digest), keys, prefix, bits and text of every row, cut; with ``carry``, its further columns too."""
-    late = docs.sparkSession.sparkContext.broadcast(popular(docs))  # 2 MB at most
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # CELLS bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, last = TaskContext.get().partitionId() << 40, late.value
+        row, table = TaskContext.get().partitionId() << 40, levels.value
         for batch in slices(batches, most=4 << 20):
             elements, size = shingle_sets(batch.column(1))
             at, full = starts(size), np.flatnonzero(size)
@@ -144,13 +183,12 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
                     d[k, full] = np.add.reduceat(mixed(elements * _ODD[k]), at[full])
                 for k in range(KEYS):
                     keys[k, full] = np.minimum.reduceat(mixed(elements + _KEY[k]), at[full])
-            is_late = np.isin(elements, last, assume_unique=False) if len(last) else np.zeros(len(elements), bool)
+            level = table[(elements % np.uint64(CELLS)).astype(np.int64)]
             prefix, bits = [], []
             for i in range(len(size)):
-                own, own_late = elements[at[i] : at[i + 1]], is_late[at[i] : at[i + 1]]
+                own = elements[at[i] : at[i + 1]]
                 p = prefix_length(int(size[i])) if size[i] else 0
-                early = own[~own_late][:p]
-                prefix.append(np.concatenate([early, own[own_late][: p - len(early)]]).view(np.int64))
+                prefix.append(own[np.argsort(level[at[i] : at[i + 1]], kind="stable")[:p]].view(np.int64))
                 bits.append(signature(own))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -193,29 +231,29 @@ def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    texts = rows.select("row", "text")
+    texts = among(rows.where("n > 0").select("row", "text"), "row", pairs.select("a").union(pairs.select("b")))
     joined = pairs.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("text_b")), F.col("b") == F.col("rb"))
     joined = joined.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("text_a")), F.col("a") == F.col("ra"))
-    found = cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), "links")
-    _forget(rows)
-    return found
-
+    return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), "links")
 
-def _forget(df: DataFrame) -> None:
-    """Let the JVM drop shuffle files that nothing refers to any more, before more are written."""
-    import gc
 
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in ``wanted``'s only column: those that are, and some that are not."""
+    at = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(WANTED))
+    bits = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_bits"))
+    own = F.pmod(F.xxhash64(column), F.lit(WANTED))
+    marked = rows.withColumns({"_of": F.shiftright(own, 6), "_bit": (own % 64).cast("int")})
+    near = marked.join(F.broadcast(bits), F.col("_of") == F.col("_slot"))  # WANTED / 64 rows at most
+    return near.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1")).select(*rows.columns)
 
 
-def stars(groups: DataFrame, classes: DataFrame, pivot: str) -> DataFrame:
+def stars(groups: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs of one pivot of each group with each other member, as far as sizes and signatures allow a link.
 
-    ``groups``: k, key, node, comp. Members of the pivot's component are left out.
+    ``groups``: k, key, node, comp. Members of the pivot's component are left out. Each turn has other pivots.
     """
-    choose = F.min if pivot == "first" else F.max
-    pivots = groups.groupBy("k", "key").agg(choose(F.struct("comp", "node")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "comp", "node")
+    pivots = groups.groupBy("k", "key").agg(F.min(by).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     pivots = pivots.select(F.col("k").alias("pk"), F.col("key").alias("pkey"), F.col("p.node").alias("a"), F.col("p.comp").alias("pc"))
     pairs = groups.join(pivots, (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey"))).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b"))
     return bounded(pairs, classes)
@@ -240,28 +278,70 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(pairs.where(close).select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "bounded")
 
 
+def open_elements(prefixes: DataFrame) -> DataFrame:
+    """(e): the prefix elements whose holders are not all in one component. ``prefixes``: node, comp, prefix."""
+    ranges = partitions(prefixes.sparkSession)
+
+    def merged(e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(e, kind="stable")
+        e, heads = np.unique(e[order], return_index=True)
+        return e, np.minimum.reduceat(lo[order], heads), np.maximum.reduceat(hi[order], heads)
+
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        comp = np.concatenate([x[1] for x in held])
+        found = merged(np.concatenate([x[0] for x in held]), comp, comp)
+        parts = list(dealt((found[0].view(np.uint64) % np.uint64(ranges)).astype(np.int64), ranges))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), *(pa.array([x[rows].tobytes() for _, rows in parts], pa.binary()) for x in found)], ["range", "e", "lo", "hi"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            e = np.asarray(batch.column(1).flatten(), dtype=np.int64)
+            held.append((e, np.repeat(np.asarray(batch.column(0)), np.asarray(pc.list_value_length(batch.column(1)), dtype=np.int64))))
+            size += len(e)
+            if size >= HELD:
+                yield deal(held)
+                held, size = [], 0
+        if size:
+            yield deal(held)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches)
+        if got:
+            e, lo, hi = merged(*(numbers(got[k], "i8") for k in ("e", "lo", "hi")))
+            yield pa.RecordBatch.from_arrays([pa.array(e[lo < hi])], ["e"])
+
+    counted = prefixes.select("comp", "prefix").mapInArrow(lean(spread), "range int, e binary, lo binary, hi binary").repartitionById(ranges, "range")
+    return cut(counted.mapInArrow(lean(gather), "e long"), "open")
+
+
 def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share a prefix element and may link by size and signature.
 
-    ``prefixes``: node, n, comp, prefix.
+    ``prefixes``: node, comp, prefix; ``classes``: node, n, bits.
     """
-    prefixes, found = cut(prefixes, "prefixes"), []
-    for k in range(PASSES):  # each pass frees its shuffle files before the next
-        own = F.filter("prefix", lambda e: F.pmod(e, F.lit(PASSES)) == k)
-        held = prefixes.select("node", "n", "comp", F.explode(own).alias("e"))
-        open_ = held.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select(F.col("e").alias("oe"), "m")
-        found.append(cut(held.join(open_, F.col("e") == F.col("oe")).select("e", "node", "n", "comp", "m"), "open"))
-        _forget(classes)
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.union(more)
+    prefixes = cut(prefixes, "prefixes")
+    wanted = open_elements(prefixes)
+    held = among(prefixes.select("node", "comp", F.explode("prefix").alias("e")), "e", wanted)
+    held = cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
+    per_comp = held.groupBy("e", "comp").agg(F.count("*").alias("c"))
+    largest = per_comp.groupBy(F.col("e").alias("oe")).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
+    sides = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
+    largest = largest.select("oe", F.col("top.comp").alias("most"), sides(F.col("top.c")).alias("wide"), sides(F.col("m") - F.col("top.c")).alias("narrow"))
+    rows = held.join(largest, F.col("e") == F.col("oe")).drop("oe")
+    rows = rows.join(classes.select(F.col("node").alias("v"), "n", "bits"), F.col("node") == F.col("v")).drop("v")
+    inner = F.col("comp") == F.col("most")
+    part = F.pmod(F.xxhash64("node"), F.when(inner, F.col("wide")).otherwise(F.col("narrow"))).cast("int")
+    # x: a part of the stragglers; y: a part of the largest component, or below 0 another part of the stragglers
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("narrow") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("x"), (-1 - F.greatest(i, F.col("part"))).alias("y")))
+    with_most = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: F.struct(F.col("part").alias("x"), j.alias("y")))
+    of_most = F.transform(F.sequence(F.lit(0), F.col("narrow") - 1), lambda i: F.struct(i.alias("x"), F.col("part").alias("y")))
     band = F.floor(F.log("n") / float(np.log(100 / SIMILAR)) + 1e-9).cast("int")
-    parts = F.ceil(F.col("m") / TILE).cast("int")
-    rows = rows.withColumns({"band": band, "parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"band": band, "inner": inner, "part": part})
+    rows = rows.withColumn("at", F.explode(F.when(F.col("inner"), of_most).otherwise(F.concat(with_most, with_rest))))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     key = ["e", "tile", "x", "y"]
-    rows = rows.select("e", "tile", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", (F.col("tile") == F.col("band")).alias("home"), "node", "n", "comp")
+    rows = rows.select("e", "tile", "at.x", "at.y", "inner", (F.col("tile") == F.col("band")).alias("home"), "part", "node", "n", "comp", "bits")
     rows = rows.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +361,7 @@ def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
             table = pa.Table.from_batches(rest)
             yield pairs_in(table, np.append(tile_heads(table), table.num_rows))
 
-    return bounded(rows.mapInArrow(lean(run), "a long, b long"), classes)
+    return cut(rows.mapInArrow(lean(run), "a long, b long").distinct(), "bounded")
 
 
 def tile_heads(table: pa.Table) -> np.ndarray:
@@ -294,24 +374,47 @@ def tile_heads(table: pa.Table) -> np.ndarray:
 
 
 def pairs_in(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
-    """Pairs within tiles, by sizes and components. ``heads``: where each tile begins, and where the last ends.
+    """Pairs within tiles that sizes, components and signatures allow. ``heads``: where each tile begins, and where the last ends.
 
-    Rows at distance 1, 2, ... are paired for all tiles at once, as long as any is that long.
+    Rows at distance 1, 2, ... are paired for all tiles at once, as long as any is that long; where one side is the
+    largest component, its rows stand in large tiles and are paired with the other side's only.
     """
-    x, y, part = (np.asarray(table.column(k)) for k in (2, 3, 4))
-    home, node, n, comp = (np.asarray(table.column(k)) for k in (5, 6, 7, 8))
-    end = np.repeat(heads[1:], np.diff(heads))
-    live, found, k = np.arange(table.num_rows), [], 0
+    y, inner, home = (np.asarray(table.column(k)) for k in (3, 4, 5))
+    part, node, n, comp = (np.asarray(table.column(k)) for k in (6, 7, 8, 9))
+    bits = table.column(10).combine_chunks()
+    bits = bits if isinstance(bits, pa.Array) else pa.concat_arrays(bits.chunks)
+    _, place = np.unique(node, return_index=True)
+    found = [np.zeros((0, 2), np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) * 100 >= SIMILAR * np.maximum(n[i], n[j]))
+        ok &= (y[i] < 0) | (inner[i] != inner[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            found.append(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0))
+
+    length = np.diff(heads)
+    end = np.repeat(heads[1:], length)
+    live, k = np.flatnonzero(np.repeat(length <= 64, length)), 0
     while len(live):
         k += 1
         live = live[live + k < end[live]]
-        i, j = live, live + k
-        ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) * 100 >= SIMILAR * np.maximum(n[i], n[j]))
-        ok &= (x[i] == y[i]) | (part[i] != part[j])
-        i, j = i[ok], j[ok]
-        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        keep(live, live + k)
+    for a, b in zip(heads[:-1][length > 64].tolist(), heads[1:][length > 64].tolist(), strict=True):
+        own = np.arange(a, b)
+        one, other = (own, own) if y[a] < 0 else (own[~inner[a:b]], own[inner[a:b]])
+        step = max(1, (1 << 20) // max(1, len(other)))
+        for c in range(0, len(one), step):
+            i, j = np.repeat(one[c : c + step], len(other)), np.tile(other, len(one[c : c + step]))
+            keep(*((i[i < j], j[i < j]) if y[a] < 0 else (i, j)))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    nodes = node[place]
+    good = np.zeros(len(pairs), bool)
+    for c in range(0, len(pairs), CHUNK):
+        i, j = (place[np.searchsorted(nodes, pairs[c : c + CHUNK, k])] for k in (0, 1))
+        for rows, s, t in alike(bits.take(pa.array(i)), bits.take(pa.array(j))):
+            good[c + rows] = bound(s, n[i[rows]], t, n[j[rows]]) >= needed(n[i[rows]], n[j[rows]])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[good, 0]), pa.array(pairs[good, 1])], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -360,14 +463,14 @@ def joined(rows: DataFrame) -> DataFrame:
     some = rows.where("n > 0")
     classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys"), F.min_by("bits", "row").alias("bits")), "classes")
     links, comps = None, classes.withColumn("comp", F.col("node"))
-    for pivot in ("first", "last"):
+    for turn in range(ROUNDS):
         groups = comps.select("node", "comp", F.posexplode("keys").alias("k", "key"))
-        found = verify(stars(groups, classes, pivot), rows)
+        found = verify(stars(groups, classes, turn), rows)
         links = found if links is None else links.union(found)
-        _forget(rows)
-        comps = cut(labelled(classes, links).select("node", "d1", "d2", "doc", "n", "keys", "bits", "comp"), "comps")
-    _forget(rows)
-    prefixes = rows.select("row", "prefix").join(comps, F.col("row") == F.col("node")).select("node", "n", "comp", "prefix")
+        if found.isEmpty():
+            break
+        comps = cut(labelled(classes, links).select("node", "keys", "comp"), "comps")
+    prefixes = rows.select("row", "prefix").join(comps.select("node", "comp"), F.col("row") == F.col("node")).select("node", "comp", "prefix")
     links = links.union(verify(tiles(classes, prefixes), rows))
     comps = labelled(classes.select("node", "d1", "d2", "doc"), links)
     named = comps.groupBy("comp").agg(F.min("doc").alias("component_id"))
