@@ -8,7 +8,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +126,8 @@ def test_mixing_targets_and_copies(docs):
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     assert mixed.count() == sum(r.copies for r in plan)
+    order = [i for _, i in sorted((p, r.doc_id) for r in plan for p in r.positions)]
+    assert [r.doc_id for r in mixed.collect()] == order
     assert sorted((r.doc_id, r.taken) for r in plan) == sorted((r.doc_id, r.taken) for r in mixing.assign(df).collect())
 
 
@@ -149,6 +150,10 @@ def test_mixing_odd(docs):
     df = docs(ODD)
     assert mixing.assign(df).count() == len(ODD)
     assert mixing.assign(df.limit(0)).count() == 0
+    clash = docs(ODD, extra=True)
+    assert mixing.mix(clash).columns == clash.columns
+    assert {r.doc_id for r in mixing.mix(clash).collect()} == {r.doc_id for r in mixing.assign(df).collect() if r.copies}
+    assert mixing.mix(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.assign(docs([(1, None), (2, "")])).collect()} == {0}
 
 
@@ -242,40 +247,72 @@ def test_lm_base_scores(spark):
         assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
 
 
-def test_spelling_probabilities_sum_to_one():
-    context, symbol, n = pitman_yor.spelled(pa.array(["abc", "abd", "", "é"]))
-    assert n.tolist() == [4, 4, 1, 3]
-    grams = Counter((context * pitman_yor.SYMBOLS + symbol).tolist())
-    model = pitman_yor.Spelling({(3, g): k for g, k in grams.items()})
-    for level in range(4):
-        assert model.rows(level, model.contexts[level]).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    for level in range(4):
-        for (c, s), sizes in model.tables[level].items():
-            assert model.rows(level, np.array([c]))[0, s] == pytest.approx(model.p(level, c, s), rel=1e-3)
-            if level < 3:  # one customer above for each table below
-                below = sum(len(x) for (c2, s2), x in model.tables[level + 1].items() if s2 == s and c2 % pitman_yor.SYMBOLS**level == c) if level else sum(len(x) for (_, s2), x in model.tables[1].items() if s2 == s)
-                assert sum(sizes) == below
-    words = model.probabilities().of_words(pa.array(["abc", "zzz"]))
-    assert words[0] > words[1]
-
-
-def test_seating_keeps_customers():
-    rng = random.Random(1)
-    for c, a in ((2, 0.1), (50, 3.0), (7, 1000.0)):
-        sizes = pitman_yor.first_tables(c, a)
-        assert sum(sizes) == c
-        for _ in range(20):
-            pitman_yor.seat_again(sizes, a, 0.5, 10, rng)
-            assert sum(sizes) == c
-            assert min(sizes) > 0
-
-
-def test_document_restaurants():
-    logs, code, n = np.log10([0.5, 0.5, 0.2, 0.5, 0.2]), np.array([1, 1, 2, 1, 2]), np.array([3, 2])
-    got = pitman_yor.in_documents(logs, code, n)
-    s, d = pitman_yor.DOC_STRENGTH, pitman_yor.DOC_DISCOUNT
-    want = [0.5, (1 - d + (s + d) * 0.5) / (s + 1), (s + d) * 0.2 / (s + 2), 0.5, (s + d) * 0.2 / (s + 1)]
-    assert 10**got == pytest.approx(want)
+@needs_data
+def test_lm_beats_its_base(spark):
+    rows = [r for r in QUERIES["op4_pitman_yor"](spark, str(DATA)).collect()]
+    for held in (True, False):
+        own = [r for r in rows if r.held_out == held]
+        assert sum(r.score > r.base_score for r in own) > 0.75 * len(own)
+        assert sum(r.score for r in own) > sum(r.base_score for r in own)
+
+
+@pytest.mark.parametrize("split", [pitman_yor.SPLIT, 4])
+def test_lm_probabilities_sum_to_one(docs, monkeypatch, split):
+    monkeypatch.setattr(pitman_yor, "SPLIT", split)
+    rng, words = random.Random(2), ["a", "b", "c", "d", "e"]
+    rows = [(i, " ".join(rng.choices(words, weights=[9, 5, 3, 2, 1], k=rng.randint(0, 30)))) for i in range(20)]
+    every = [*words, "unknown"]
+    rows += [(100, " ".join(f"{u} {w}" for u in every for w in every)), (101, ""), *((102 + i, w) for i, w in enumerate(every))]
+    table, found, replies, known = pitman_yor.seated(docs(rows).coalesce(1), F.col("doc_id") < 100)
+    (block,) = [r.asDict() for r in table.collect()]
+    told = {r.range: (r.x, r.y) for r in found.where("kind = 0").collect()}
+    asked = {r.range: (r.x, r.y) for r in replies.collect()}
+    first, second, _, p, c, sums = pitman_yor.pair_probabilities(block, told, asked, *known)
+    assert c.sum() == sums["tokens"] == sum(len((t or "").split()) + 1 for i, t in rows if i < 100)
+    assert len(p) == 49
+    assert np.bincount(first, weights=p) == pytest.approx(np.ones(7), abs=1e-6)
+    assert all(p > 0)
+    # the parent has one customer for each table of the contexts, and its tables are at most as many
+    assert sums["types"] == 6
+    assert all(6 <= r <= t <= sums["tokens"] for r, t in zip(sums["opened"], sums["customers"], strict=True))
+    want = {i: sum(math.log10(p[(first == a) & (second == b)][0]) for a, b in pairs) for i, pairs in token_pairs(rows, block).items()}
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs(rows).coalesce(1), F.col("doc_id") < 100).collect()}
+    assert got == pytest.approx(want)
+
+
+def token_pairs(rows, block):
+    code = pitman_yor.unpack(block["codes"], "i4").tolist()
+    end, out, at = len(block["low"]) // 4 - 1, {}, 0
+    for i, n in zip(block["doc_ids"], block["n"], strict=True):
+        own = code[at : at + n]
+        out[i] = list(zip([end, *own[:-1]], own, strict=True))
+        assert len(own) == len((dict(rows)[i] or "").split()) + 1
+        at += n
+    return out
+
+
+def test_seating_has_the_right_distribution():
+    """Against the exact posterior of one dish's number of tables, beside another dish with one customer."""
+    c, p, s, d, n = 6, 0.3, 0.5, 0.6, 20000
+    stirling = {(1, 1): 1.0}
+    for i in range(1, c):
+        for t in range(1, i + 2):
+            stirling[i + 1, t] = stirling.get((i, t - 1), 0) + (i - d * t) * stirling.get((i, t), 0)
+    weight = [stirling[c, t] * math.prod((s + d * (1 + k)) * p for k in range(t)) for t in range(1, c + 1)]
+    seating = pitman_yor.Seating(np.tile([c, 1], n), np.repeat(np.arange(n), 2), np.tile([p, 0.1], n), np.ones(n), s, d, 1)
+    for _ in range(8):
+        tables = seating.sweep()
+    assert (tables[1::2] == 1).all()
+    got = np.bincount(tables[::2], minlength=c + 1)[1:] / n
+    assert got == pytest.approx(np.array(weight) / sum(weight), abs=0.015)
+
+
+def test_seating_of_many_customers(monkeypatch):
+    """Seating in runs gives as many tables as seating one by one."""
+    draw = lambda seed: pitman_yor.Seating(np.full(1000, 20000), np.arange(1000), np.full(1000, 0.9), np.ones(1000), 10.0, 0.3, seed).samples()[-1].mean()
+    runs = draw(1)
+    monkeypatch.setattr(pitman_yor, "EXACT", 1 << 40)
+    assert runs == pytest.approx(draw(2), rel=0.1)
 
 
 def test_lm_odd(docs):
@@ -423,6 +460,24 @@ def test_jaccard_tiles_alone(docs, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_components_over_many_partitions(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1600)] + [(5000 + i, 5001 + i) for i in range(200)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    monkeypatch.setattr(jaccard_join, "contract", lambda edges, whole=jaccard_join.contract: whole(edges.repartition(4)))
+    got = dict(jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {x: find(x) for pair in links for x in pair if pair[0] != pair[1]}
+
+
 def test_jaccard_odd(docs):
     df = docs(ODD, extra=True)
     got = sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in jaccard_join.join(df).select("doc_id", "n_shingles", "component_id").collect())

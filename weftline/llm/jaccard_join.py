@@ -5,12 +5,13 @@ join finds every link that connects anything: documents of equal sets form one c
 aggregation, never in pairs), and what is returned are the components of classes under links.
 
 1. Order. Any two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of each, their prefixes, in any
-   fixed order of elements. The order here is by frequency, then by hash: elements of all texts are counted, and a
-   table of ``CELLS`` bytes holds the logarithm of the highest count that falls into each cell. Few others hold what is
-   in a prefix then, and passages that many documents share are no reason to compare them.
-2. Stars. Classes that agree in one of ``KEYS`` minimum hashes are compared with one pivot of their group, and again
-   with other pivots as long as that joins any (``ROUNDS`` times at most). Nearly all near copies are joined by this,
-   at a number of pairs that grows with the classes, not with the square of a group.
+   fixed order of elements. The order here is by frequency, then by hash: elements of all texts are counted, and two
+   tables of bounded size, ``Frequencies``, tell those found once from the rest, and the frequent ones by the logarithm
+   of their count. Few others hold what is in a prefix then, and passages that many documents share are no reason to
+   compare them. The tables blur as more elements share a cell, which costs time and loses nothing.
+2. Stars. Classes that share one of the first ``KEYS`` elements that are found twice or more are compared with one
+   pivot of their group, and again with other pivots as long as that joins any (``ROUNDS`` times at most). Nearly all
+   near copies are joined by this, at a number of pairs that grows with the classes, not with the square of a group.
 3. Tiles. Prefix elements whose holders are all in one component already are dropped. The others' holders meet in
    tiles of (element, band of set sizes); a set meets its own band and the one below. The holders in the element's
    largest component never meet each other, only the rest, so that a group of near copies costs its stragglers times
@@ -38,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +47,11 @@ from pyspark.sql import types as T
 from weftline.llm.common import coded, cut, dealt, gathered, lean, mixed, numbers, partitions, slices, split_words, starts
 
 SHINGLE, SIMILAR = 5, 80
-KEYS, BITS, TILE, ROUNDS = 6, 1024, 512, 5
-#: Of the frequency table, a byte each; counts under LEAST are not told apart.
-CELLS, LEAST = 1 << 24, 4
+KEYS, BITS, TILE, ROUNDS = 6, 1024, 512, 2
+#: Cells of a byte for elements found LEAST times or more, and of a bit for those found twice or more: so many for each
+#: row, between these bounds.
+CELLS, LEAST = 1 << 23, 4
+BIT_CELLS, LEAST_BITS, MOST_BITS = 512, 1 << 22, 1 << 30
 #: Of the tables that tell which elements or rows may be wanted.
 WANTED = 1 << 23
 #: Elements that a task gathers before it deals them out.
@@ -56,8 +60,6 @@ HELD = 1 << 21
 CHUNK = 1 << 15
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-_KEY = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD[4])
-
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct elements of all texts, in turn, and how many each text has."""
@@ -91,8 +93,8 @@ def prefix_length(size: int) -> int:
 
 
 def signature(elements: np.ndarray) -> bytes:
-    """As many bits as elements or more, a power of two: fuller signatures would not bound anything."""
-    n = max(BITS, 1 << (max(1, len(elements)) - 1).bit_length())
+    """Twice as many bits as elements or more, a power of two: fuller signatures would bound little."""
+    n = max(BITS, 1 << (2 * max(1, len(elements)) - 1).bit_length())
     bits = np.zeros(n, bool)
     bits[(elements >> np.uint64(20)) % np.uint64(n)] = True
     return np.packbits(bits).tobytes()
@@ -117,16 +119,32 @@ def bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.nd
     return np.minimum(na - lacks, nb - other)
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """CELLS bytes: for each cell of elements (their low bits), the logarithm of the highest number of texts with one.
+class Frequencies:
+    """How often elements are found, roughly: each cell holds the most frequent of the elements that fall into it."""
+
+    def __init__(self, bits: int):
+        self.bits = np.zeros(bits >> 3, np.uint8)
+        self.levels = np.zeros(CELLS, np.uint8)
+
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        """0 for an element found once, 1 if twice or more, and more for frequent ones."""
+        at = (elements % np.uint64(len(self.bits) << 3)).astype(np.int64)
+        often = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return np.maximum(often, np.where(often, self.levels[(elements % np.uint64(CELLS)).astype(np.int64)], 0))
+
 
-    Any order of elements gives right results; this one is bounded in size and blurs as cells fill up.
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Counts the elements of all texts, by ranges of their hashes. A range's task sends its part of the tables only.
+
+    Elements are told apart by 32 bits of their hashes here: it is only the order that depends on it.
     """
     ranges = partitions(docs.sparkSession)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BIT_CELLS * docs.count() - 1).bit_length()))
+    first_of = lambda k, cells: -(-k * cells // ranges)
 
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
-        low, n = np.unique(np.concatenate(held).astype(np.uint32), return_counts=True)
-        parts = list(dealt(((low.astype(np.int64) % CELLS) * ranges // CELLS), ranges))
+        low, n = np.unique(np.concatenate(held), return_counts=True)
+        parts = list(dealt((low.astype(np.int64) % CELLS) * ranges // CELLS, ranges))
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in parts], pa.int32()), pa.array([low[rows].tobytes() for _, rows in parts], pa.binary()), pa.array([n[rows].astype(np.uint32).tobytes() for _, rows in parts], pa.binary())],
             ["range", "e", "n"],
@@ -152,21 +170,24 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
             low, heads = np.unique(low[order], return_index=True)
             n = np.add.reduceat(n[order], heads)
             often = n >= LEAST
-            first, end = -(-k * CELLS // ranges), -(-(k + 1) * CELLS // ranges)
-            cells = np.zeros(end - first, np.uint8)
-            np.maximum.at(cells, low[often].astype(np.int64) % CELLS - first, np.log2(n[often]).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([cells.tobytes()], pa.binary())], ["first", "cells"])
+            cells = np.zeros(first_of(k + 1, CELLS) - first_of(k, CELLS), np.uint8)
+            np.maximum.at(cells, low[often].astype(np.int64) % CELLS - first_of(k, CELLS), np.log2(n[often]).astype(np.uint8))
+            # the same range of elements, in the table of bits: all those with these cells
+            twice = np.unique((low[n > 1] % np.uint32(bits) if bits < 1 << 32 else low[n > 1]).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([first_of(k, CELLS)], pa.int64()), pa.array([cells.tobytes()], pa.binary()), pa.array([zstandard.compress(np.diff(twice, prepend=np.uint32(0)).tobytes())], pa.binary())], ["first", "cells", "twice"])
 
     counted = docs.select("text").mapInArrow(lean(count), "range int, e binary, n binary").repartitionById(ranges, "range")
-    out = np.zeros(CELLS, np.uint8)
-    for first, cells in counted.mapInArrow(lean(level), "first long, cells binary").toLocalIterator():  # CELLS bytes in all
-        out[first : first + len(cells)] = np.frombuffer(cells, np.uint8)
+    out = Frequencies(bits)
+    for first, cells, twice in counted.mapInArrow(lean(level), "first long, cells binary, twice binary").toLocalIterator():  # the tables' cells
+        out.levels[first : first + len(cells)] = np.frombuffer(cells, np.uint8)
+        at = np.cumsum(np.frombuffer(zstandard.decompress(twice), "u4"), dtype=np.int64)
+        np.bitwise_or.at(out.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
     return out
 
 
 def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
     """row, doc_id, n, d1, d2 (digest), keys, prefix, bits and text of every row, cut; with ``carry``, its further columns too."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # CELLS bytes
+    levels = docs.sparkSession.sparkContext.broadcast(frequencies(docs))  # CELLS bytes and MOST_BITS bits at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +198,18 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
             elements, size = shingle_sets(batch.column(1))
             at, full = starts(size), np.flatnonzero(size)
             d = np.zeros((2, len(size)), np.uint64)
-            keys = np.zeros((KEYS, len(size)), np.uint64)
             if len(full):
                 for k in range(2):
                     d[k, full] = np.add.reduceat(mixed(elements * _ODD[k]), at[full])
-                for k in range(KEYS):
-                    keys[k, full] = np.minimum.reduceat(mixed(elements + _KEY[k]), at[full])
-            level = table[(elements % np.uint64(CELLS)).astype(np.int64)]
-            prefix, bits = [], []
+            level = table.of(elements)
+            keys, prefix, bits = [], [], []
             for i in range(len(size)):
                 own = elements[at[i] : at[i + 1]]
                 p = prefix_length(int(size[i])) if size[i] else 0
-                prefix.append(own[np.argsort(level[at[i] : at[i + 1]], kind="stable")[:p]].view(np.int64))
+                order = np.argsort(level[at[i] : at[i + 1]], kind="stable")
+                prefix.append(own[order[:p]].view(np.int64))
+                once = np.count_nonzero(level[at[i] : at[i + 1]] == 0)
+                keys.append(own[order[once : once + KEYS]].view(np.int64))
                 bits.append(signature(own))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -197,7 +218,7 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
                     pa.array(size),
                     pa.array(d[0].view(np.int64)),
                     pa.array(d[1].view(np.int64)),
-                    pa.array(list(keys.T.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array(keys, pa.list_(pa.int64())),
                     pa.array(prefix, pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()),
                     *batch.columns[1:],
@@ -250,12 +271,12 @@ def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 def stars(groups: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs of one pivot of each group with each other member, as far as sizes and signatures allow a link.
 
-    ``groups``: k, key, node, comp. Members of the pivot's component are left out. Each turn has other pivots.
+    ``groups``: key, node, comp. Members of the pivot's component are left out. Each turn has other pivots.
     """
     by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "comp", "node")
-    pivots = groups.groupBy("k", "key").agg(F.min(by).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    pivots = pivots.select(F.col("k").alias("pk"), F.col("key").alias("pkey"), F.col("p.node").alias("a"), F.col("p.comp").alias("pc"))
-    pairs = groups.join(pivots, (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey"))).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b"))
+    pivots = groups.groupBy("key").agg(F.min(by).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    pivots = pivots.select(F.col("key").alias("pkey"), F.col("p.node").alias("a"), F.col("p.comp").alias("pc"))
+    pairs = groups.join(pivots, F.col("key") == F.col("pkey")).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b"))
     return bounded(pairs, classes)
 
 
@@ -315,17 +336,22 @@ def open_elements(prefixes: DataFrame) -> DataFrame:
     return cut(counted.mapInArrow(lean(gather), "e long"), "open")
 
 
-def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a prefix element and may link by size and signature.
-
-    ``prefixes``: node, comp, prefix; ``classes``: node, n, bits.
-    """
+def holders(prefixes: DataFrame) -> DataFrame:
+    """(e, node, comp): all holders of the prefix elements that more than one component holds; cut. ``prefixes``: node, comp, prefix."""
     prefixes = cut(prefixes, "prefixes")
     wanted = open_elements(prefixes)
     held = among(prefixes.select("node", "comp", F.explode("prefix").alias("e")), "e", wanted)
-    held = cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
+    return cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
+
+
+def tiles(classes: DataFrame, held: DataFrame, every: bool) -> DataFrame:
+    """Pairs of classes in different components that share a prefix element and may link by size and signature.
+
+    ``held``: as from ``holders``; ``classes``: node, n, bits. Without ``every``, the likeliest pair of any two
+    components alone; such a turn joins most of them, and leaves the last, complete one little to do.
+    """
     per_comp = held.groupBy("e", "comp").agg(F.count("*").alias("c"))
-    largest = per_comp.groupBy(F.col("e").alias("oe")).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
+    largest = per_comp.groupBy(F.col("e").alias("oe")).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
     sides = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
     largest = largest.select("oe", F.col("top.comp").alias("most"), sides(F.col("top.c")).alias("wide"), sides(F.col("m") - F.col("top.c")).alias("narrow"))
     rows = held.join(largest, F.col("e") == F.col("oe")).drop("oe")
@@ -347,6 +373,23 @@ def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tiles come whole and in turn; the last of a batch may go on in the next."""
         rest: list[pa.RecordBatch] = []
+        found: dict[str, np.ndarray] = {}
+
+        def emit() -> pa.RecordBatch:
+            pairs = found.pop("pairs")
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        def add(table: pa.Table, heads: np.ndarray) -> bool:
+            new = pairs_in(table, heads)
+            new = new[:, :2] if every else new
+            both = np.concatenate([found["pairs"], new]) if "pairs" in found else new
+            if every:
+                found["pairs"] = np.unique(both, axis=0)
+            else:  # the likeliest for each two components
+                both = both[np.lexsort(both.T[[1, 0, 4, 3, 2]])]
+                found["pairs"] = both[np.flatnonzero(np.concatenate([[True], (both[1:, 2:4] != both[:-1, 2:4]).any(axis=1)]))] if len(both) else both
+            return len(found["pairs"]) > HELD >> 2
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -355,11 +398,14 @@ def tiles(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
             heads = tile_heads(table)
             last = int(heads[-1])
             if last:
-                yield pairs_in(table.slice(0, last), heads)
+                if add(table.slice(0, last), heads):
+                    yield emit()
                 rest = table.slice(last).combine_chunks().to_batches()
         if rest:
             table = pa.Table.from_batches(rest)
-            yield pairs_in(table, np.append(tile_heads(table), table.num_rows))
+            add(table, np.append(tile_heads(table), table.num_rows))
+        if found:
+            yield emit()
 
     return cut(rows.mapInArrow(lean(run), "a long, b long").distinct(), "bounded")
 
@@ -373,8 +419,9 @@ def tile_heads(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def pairs_in(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
-    """Pairs within tiles that sizes, components and signatures allow. ``heads``: where each tile begins, and where the last ends.
+def pairs_in(table: pa.Table, heads: np.ndarray) -> np.ndarray:
+    """Pairs within tiles that sizes, components and signatures allow: two nodes, their components, and in thousandths
+    what they lack of the highest similarity. ``heads``: where each tile begins, and where the last ends.
 
     Rows at distance 1, 2, ... are paired for all tiles at once, as long as any is that long; where one side is the
     largest component, its rows stand in large tiles and are paired with the other side's only.
@@ -409,29 +456,63 @@ def pairs_in(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
             keep(*((i[i < j], j[i < j]) if y[a] < 0 else (i, j)))
     pairs = np.unique(np.concatenate(found), axis=0)
     nodes = node[place]
-    good = np.zeros(len(pairs), bool)
+    most = np.zeros(len(pairs), np.int64)
+    i, j = (place[np.searchsorted(nodes, pairs[:, k])] for k in (0, 1))
     for c in range(0, len(pairs), CHUNK):
-        i, j = (place[np.searchsorted(nodes, pairs[c : c + CHUNK, k])] for k in (0, 1))
-        for rows, s, t in alike(bits.take(pa.array(i)), bits.take(pa.array(j))):
-            good[c + rows] = bound(s, n[i[rows]], t, n[j[rows]]) >= needed(n[i[rows]], n[j[rows]])
-    return pa.RecordBatch.from_arrays([pa.array(pairs[good, 0]), pa.array(pairs[good, 1])], ["a", "b"])
+        one, other = i[c : c + CHUNK], j[c : c + CHUNK]
+        for rows, s, t in alike(bits.take(pa.array(one)), bits.take(pa.array(other))):
+            most[c + rows] = bound(s, n[one[rows]], t, n[other[rows]])
+    good = most >= needed(n[i], n[j])
+    i, j, most = i[good], j[good], most[good]
+    lacks = 1000 - 1000 * most // np.maximum(1, n[i] + n[j] - most)
+    return np.stack([node[i], node[j], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), lacks], axis=1)
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """(x, y, task): each partition's links (x, y) replaced by links of its nodes to the least node of their component there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["x", "y"])])
+        if not table.num_rows:
+            return
+        nodes, at = np.unique(np.concatenate([np.asarray(table.column(k)) for k in (0, 1)]), return_inverse=True)
+        a, b = at[: table.num_rows], at[table.num_rows :]
+        least = np.arange(len(nodes))
+        while True:
+            x, y = least[a], least[b]
+            if (x == y).all():
+                break
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while (least[least] != least).any():
+                least = least[least]
+        own = np.flatnonzero(least != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[least[own]]), pa.array(np.full(len(own), TaskContext.get().partitionId()))], ["x", "y", "task"])
+
+    return cut(edges.mapInArrow(lean(run), "x long, y long, task long"), "edges")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node with a link; comp is the least node of its component."""
-    edges = cut(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct(), "edges")
+    """(node, comp) of every node with a link; comp is the least node of its component.
+
+    Partitions contract their own links first. If one held them all, that is the result; else large-star and small-star
+    steps follow until nothing changes.
+    """
+    edges = contract(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
     mark = None
     while True:
+        low, high, *now = edges.agg(F.min("task"), F.max("task"), F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
+        edges = edges.select("x", "y")
+        if low == high or now == mark:
+            break
+        mark = now
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m"))
         large = both.join(least, F.col("x") == F.col("u")).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least.select(F.col("x").alias("u"), "m"), F.col("x") == F.col("u")).where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = cut(small.union(least).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
-        if now == mark:
-            break
-        mark = now
+        edges = contract(small.union(least).distinct())
     return edges.select(F.col("x").alias("node"), F.col("y").alias("comp")).union(edges.select(F.col("y").alias("node"), F.col("y").alias("comp")).distinct())
 
 
@@ -464,14 +545,18 @@ def joined(rows: DataFrame) -> DataFrame:
     classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys"), F.min_by("bits", "row").alias("bits")), "classes")
     links, comps = None, classes.withColumn("comp", F.col("node"))
     for turn in range(ROUNDS):
-        groups = comps.select("node", "comp", F.posexplode("keys").alias("k", "key"))
+        groups = comps.select("node", "comp", F.explode("keys").alias("key"))
         found = verify(stars(groups, classes, turn), rows)
         links = found if links is None else links.union(found)
         if found.isEmpty():
             break
         comps = cut(labelled(classes, links).select("node", "keys", "comp"), "comps")
-    prefixes = rows.select("row", "prefix").join(comps.select("node", "comp"), F.col("row") == F.col("node")).select("node", "comp", "prefix")
-    links = links.union(verify(tiles(classes, prefixes), rows))
+    held = holders(rows.select("row", "prefix").join(comps.select("node", "comp"), F.col("row") == F.col("node")).select("node", "comp", "prefix"))
+    for every in (False, True):
+        links = links.union(verify(tiles(classes, held, every), rows))
+        if not every:
+            comps = labelled(classes.select("node"), links).select(F.col("node").alias("v"), "comp")
+            held = held.drop("comp").join(comps, F.col("node") == F.col("v")).select("e", "node", "comp")
     comps = labelled(classes.select("node", "d1", "d2", "doc"), links)
     named = comps.groupBy("comp").agg(F.min("doc").alias("component_id"))
     comps = cut(comps.join(named, "comp").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node", "comp", "component_id"), "comps")
