@@ -15,7 +15,7 @@ rows also carry the target, so that one exchange of (id, size) serves join and w
 
 Defined results: a null text has size 0 and is never taken; documents of size 0 are not placed. A null source is a
 source of its own and ranks last. Documents whose id and size are equal may change places, which changes no result.
-Without words every target is 0. Empty tables give empty ones. Columns other than doc_id, text and source pass
+Without words every target is 0. Very long texts are counted whole. Empty tables give empty ones. Columns other than doc_id, text and source pass
 through ``mix`` untouched, whatever their names.
 """
 
@@ -26,12 +26,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, n_words
+from weftline.llm.common import cut, n_words, partitions
 
 WEIGHTS = (5, 2, 1)
 EPOCHS, MOST = 1.5, 2
 #: Documents of a bucket, about.
 BUCKET_ROWS = 2_000
+#: Bins of training positions for each partition of the result.
+FINE = 64
 
 #: By rank of the source: (time, weight) knots from 0 to 1. The first kind fades, the second stays, the third rises.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.0)))
@@ -73,16 +75,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float
     return filled.select("source", "rank", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
-def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, most: int = MOST, schedules=SCHEDULES, size: Callable[[Column], Column] = n_words, carry: bool = False) -> DataFrame:
-    """For each row doc_id, source, size, source_size, target, taken, copies and positions (one for each copy, ascending).
+def _key() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
-    With ``carry`` the whole input row comes along as struct ``row``, through the same exchange.
-    """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    base = docs.select("doc_id", "source", size(F.col("text")).alias("size"), key.alias("key"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    if not carry:
-        base = cut(base, "sizes")
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+
+def _placed(base: DataFrame, weights: tuple[int, ...], epochs: float, most: int, schedules) -> DataFrame:
+    """``base`` (doc_id, source, size, key and others; a table) with source_size, target, copies and positions."""
+    buckets = max(1, -(-base.count() // BUCKET_ROWS))
     spread = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
     base = base.withColumn("bucket", F.floor(spread * F.lit(buckets) / F.lit(16**12)).cast("long"))
 
@@ -103,11 +102,35 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float =
             time = F.when((rank - 1) % len(schedules) == i, inverse_demand(share, knots)).otherwise(time)
         positions.append(F.when((F.col("size") > 0) & (at < F.col("target")), time))
     positions = F.filter(F.array(*positions), lambda x: x.isNotNull())
-    placed = placed.withColumn("positions", positions).withColumn("copies", F.size("positions"))
-    return placed.select("doc_id", *(["row"] if carry else []), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "positions")
+    return placed.withColumn("positions", positions).withColumn("copies", F.size("positions"))
+
 
+def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, most: int = MOST, schedules=SCHEDULES, size: Callable[[Column], Column] = n_words) -> DataFrame:
+    """For each row doc_id, source, size, source_size, target, taken, copies and positions (one for each copy, ascending)."""
+    base = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size"), _key().alias("key")), "sizes")
+    placed = _placed(base, weights, epochs, most, schedules)
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "positions")
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position."""
-    placed = assign(docs, carry=True, **how).select("row", F.explode("positions").alias("position"))
-    return placed.orderBy("position", "row.doc_id").select("row.*")
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, most: int = MOST, schedules=SCHEDULES, size: Callable[[Column], Column] = n_words) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
+
+    Rows are numbered and positions found without their texts. The boundaries of the final ranges come from the words
+    at each position, so texts meet their positions in one exchange and are sorted by the next, without sampling.
+    """
+    spark = docs.sparkSession
+    rows = cut(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size(F.col("text")).alias("size"), _key().alias("key"), F.monotonically_increasing_id().alias("number")), "rows")
+    placed = _placed(rows.drop("row"), weights, epochs, most, schedules)
+    placed = cut(placed.select("number", "size", F.explode("positions").alias("position")), "positions")
+    parts = partitions(spark)
+    bins = FINE * parts
+    placed = placed.withColumn("bin", F.least(F.floor(F.col("position") * bins), F.lit(bins - 1)).cast("int"))
+    words = sorted(placed.groupBy("bin").agg(F.sum("size")).collect())  # FINE rows for each partition at most
+    total, seen, dealt = sum(n for _, n in words) or 1, 0, []
+    for k, n in words:
+        dealt.append((k, min(parts - 1, seen * parts // total)))
+        seen += n
+    ranges = spark.createDataFrame(dealt, "b int, part int")
+    placed = placed.join(F.broadcast(ranges), F.col("bin") == F.col("b")).select("number", "position", "part")
+    found = placed.join(rows.select(F.col("number").alias("m"), "row"), F.col("number") == F.col("m")).select("row", "position", "number", "part")
+    return found.repartitionById(parts, "part").sortWithinPartitions("position", "row.doc_id", "number").select("row.*")

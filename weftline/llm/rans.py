@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import coded, cut, lean, partitions, slices, split_words, starts
+from weftline.llm.common import coded, cut, drop, lean, partitions, slices, split_words, starts, written
 
 END = 1
 BLOCK, LANES, SCALE = 32768, 32, 20
@@ -329,7 +329,8 @@ def frequencies(raw: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` into ``path``/segments and ``path``/table."""
     spark = docs.sparkSession
-    raw = segments(docs, tokenizer)
+    with written() as superseded:
+        raw = segments(docs, tokenizer)
     freq = quantise(frequencies(raw))
     table = spark.sparkContext.broadcast(freq)  # 65,536 numbers
 
@@ -344,6 +345,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     kind = raw.schema["doc_ids"].dataType.simpleString()
     raw.mapInArrow(lean(run), f"shard long, seq long, doc_ids {kind}, doc_tokens array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(freq.tolist()) if n], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
+    drop(spark, superseded)
 
 
 def read_table(spark, path: str) -> np.ndarray:
