@@ -99,15 +99,18 @@ def lean(run: Callable) -> Callable:
     return freed
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows whose ``column`` holds about ``most`` bytes; a longer text stands alone, whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20, each: int = 1) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows whose ``column`` holds about ``most`` bytes; a longer text stands alone, whole.
+
+    A run has a multiple of ``each`` rows.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
         start, held = 0, 0
         for i, s in enumerate(size.tolist()):
-            if held and held + s > most:
+            if held and held + s > most and i % each == 0:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += s

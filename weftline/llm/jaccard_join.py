@@ -9,9 +9,9 @@ aggregation, never in pairs), and what is returned are the components of classes
    tables of bounded size, ``Frequencies``, tell those found once from the rest, and the frequent ones by the logarithm
    of their count. Few others hold what is in a prefix then, and passages that many documents share are no reason to
    compare them. The tables blur as more elements share a cell, which costs time and loses nothing.
-2. Stars. Classes that share one of the first ``KEYS`` elements that are found twice or more are compared with one
-   pivot of their group, and again with other pivots as long as that joins any (``ROUNDS`` times at most). Nearly all
-   near copies are joined by this, at a number of pairs that grows with the classes, not with the square of a group.
+2. Stars. Classes that share one of the first ``KEYS`` elements that are found twice or more are compared with two
+   pivots of their group. Most near copies are joined by this, at a number of pairs that grows with the classes, not
+   with the square of a group.
 3. Tiles. Prefix elements whose holders are all in one component already are dropped. The others' holders meet in
    tiles of (element, band of set sizes); a set meets its own band and the one below. The holders in the element's
    largest component never meet each other, only the rest, so that a group of near copies costs its stragglers times
@@ -47,7 +47,9 @@ from pyspark.sql import types as T
 from weftline.llm.common import coded, cut, dealt, gathered, lean, mixed, numbers, partitions, slices, split_words, starts
 
 SHINGLE, SIMILAR = 5, 80
-KEYS, BITS, TILE, ROUNDS = 6, 1024, 512, 2
+KEYS, BITS, TILE = 6, 1024, 512
+#: Pairs that may be broadcast, and links that one task contracts: 24 bytes each.
+SMALL, CONTRACTED = 1 << 16, 1 << 20
 #: Cells of a byte for elements found LEAST times or more, and of a bit for those found twice or more: so many for each
 #: row, between these bounds.
 CELLS, LEAST = 1 << 23, 4
@@ -234,28 +236,48 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 
 def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
+    """The pairs (a, b) that link, by their signatures and exact intersection. ``pairs``: a table of distinct pairs.
+
+    Each pair's two texts meet in one exchange.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(iter([whole]), column="text_b", most=2 << 20):
-                first = batch.column(0).dictionary_encode()  # a pivot stands in many rows
-                place = np.asarray(first.indices)
-                _, one = np.unique(place, return_index=True)
-                a, na = shingle_sets(batch.column(2).take(pa.array(one)))
-                b, nb = shingle_sets(batch.column(3))
-                at, bt = starts(na), starts(nb)
-                keep = []
-                for i in range(batch.num_rows):
-                    x, y = a[at[place[i]] : at[place[i] + 1]], b[bt[i] : bt[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    texts = among(rows.where("n > 0").select("row", "text"), "row", pairs.select("a").union(pairs.select("b")))
-    joined = pairs.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("text_b")), F.col("b") == F.col("rb"))
-    joined = joined.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("text_a")), F.col("a") == F.col("ra"))
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long"), "links")
+        """Rows stand by pair, its smaller node first; the first of a pair may come at the end of a batch."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks()
+            whole = table.num_rows // 2 * 2
+            rest = table.slice(whole).combine_chunks().to_batches()[0] if whole < table.num_rows else None
+            for part in table.slice(0, whole).combine_chunks().to_batches():
+                yield from linked(part)
+
+    sides = lambda own, other: pairs.select(F.col(own).alias("at"), "a", "b", (F.lit(own) == F.lit("b")).alias("second"))  # noqa: E731, ARG005
+    both = sides("a", "b").union(sides("b", "a"))
+    texts = among(rows.where("n > 0").select("row", "n", "bits", "text"), "row", both.select("at"))
+    joined = texts.join(F.broadcast(both) if pairs.count() <= SMALL else both, F.col("row") == F.col("at"))
+    joined = joined.select("a", "b", "second", "n", "bits", "text").repartition("a", "b").sortWithinPartitions("a", "b", "second")
+    return cut(joined.mapInArrow(lean(run), "a long, b long"), "links")
+
+
+def linked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs that link. ``batch``: a, b, second, n, bits, text; two rows for each pair, in turn."""
+    odd, even = pa.array(np.arange(0, batch.num_rows, 2)), pa.array(np.arange(1, batch.num_rows, 2))
+    n = np.asarray(batch.column(3))
+    small, large = n[::2], n[1::2]
+    near = np.zeros(len(small), bool)
+    for rows, x, y in alike(batch.column(4).take(odd), batch.column(4).take(even)):
+        near[rows] = bound(x, small[rows], y, large[rows]) >= needed(small[rows], large[rows])
+    near &= np.minimum(small, large) * 100 >= SIMILAR * np.maximum(small, large)
+    for part in slices(iter([batch.filter(pa.array(np.repeat(near, 2)))]), most=2 << 20, each=2):
+        first = part.column(5).dictionary_encode()  # a pivot stands in many rows
+        place = np.asarray(first.indices)
+        elements, size = shingle_sets(first.dictionary)
+        at, keep = starts(size), []
+        for i, j in zip(place[::2].tolist(), place[1::2].tolist(), strict=True):
+            both = len(np.intersect1d(elements[at[i] : at[i + 1]], elements[at[j] : at[j + 1]], assume_unique=True))
+            keep.append(100 * both >= SIMILAR * (int(size[i] + size[j]) - both))
+        kept = pa.array(np.arange(0, part.num_rows, 2)[np.array(keep, bool)])
+        yield pa.RecordBatch.from_arrays([c.take(kept) for c in part.columns[:2]], ["a", "b"])
 
 
 def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -268,35 +290,17 @@ def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return near.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1")).select(*rows.columns)
 
 
-def stars(groups: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one pivot of each group with each other member, as far as sizes and signatures allow a link.
+def stars(groups: DataFrame) -> DataFrame:
+    """Pairs of two pivots of each group with each other member, as far as sizes allow a link; cut.
 
-    ``groups``: key, node, comp. Members of the pivot's component are left out. Each turn has other pivots.
+    ``groups``: key, node, n.
     """
-    by = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "comp", "node")
-    pivots = groups.groupBy("key").agg(F.min(by).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    pivots = pivots.select(F.col("key").alias("pkey"), F.col("p.node").alias("a"), F.col("p.comp").alias("pc"))
-    pairs = groups.join(pivots, F.col("key") == F.col("pkey")).where(F.col("comp") != F.col("pc")).select("a", F.col("node").alias("b"))
-    return bounded(pairs, classes)
-
-
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that may link by their sizes and the bit counts of their signatures; cut."""
-    sig = classes.select("node", "n", "bits")
-    pairs = pairs.distinct().join(sig.select(F.col("node").alias("nb"), F.col("n").alias("size_b"), F.col("bits").alias("bits_b")), F.col("b") == F.col("nb"))
-    pairs = pairs.join(sig.select(F.col("node").alias("na"), F.col("n").alias("size_a"), F.col("bits").alias("bits_a")), F.col("a") == F.col("na"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-                keep = np.zeros(batch.num_rows, bool)
-                for rows, x, y in alike(batch.column(4), batch.column(5)):
-                    keep[rows] = bound(x, na[rows], y, nb[rows]) >= needed(na[rows], nb[rows])
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
-
-    close = F.least("size_a", "size_b") * 100 >= SIMILAR * F.greatest("size_a", "size_b")
-    return cut(pairs.where(close).select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "bounded")
+    by = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    pivots = groups.groupBy("key").agg(F.array(F.min(by), F.max(by)).alias("two"), F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select(F.col("key").alias("pkey"), F.explode("two").alias("p")).select("pkey", F.col("p.node").alias("a"), F.col("p.n").alias("size"))
+    close = F.least("n", "size") * 100 >= SIMILAR * F.greatest("n", "size")
+    pairs = groups.join(pivots, F.col("key") == F.col("pkey")).where((F.col("node") != F.col("a")) & close)
+    return cut(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
 
 
 def open_elements(prefixes: DataFrame) -> DataFrame:
@@ -336,26 +340,30 @@ def open_elements(prefixes: DataFrame) -> DataFrame:
     return cut(counted.mapInArrow(lean(gather), "e long"), "open")
 
 
-def holders(prefixes: DataFrame) -> DataFrame:
-    """(e, node, comp): all holders of the prefix elements that more than one component holds; cut. ``prefixes``: node, comp, prefix."""
+def holders(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(e, node, comp, n, bits): all holders of the prefix elements that more than one component holds; cut.
+
+    ``prefixes``: node, comp, prefix; ``classes``: node, n, bits.
+    """
     prefixes = cut(prefixes, "prefixes")
     wanted = open_elements(prefixes)
     held = among(prefixes.select("node", "comp", F.explode("prefix").alias("e")), "e", wanted)
-    return cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
+    held = cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
+    known = among(classes.select("node", "n", "bits"), "node", held.select("node")).withColumnRenamed("node", "v")
+    return cut(held.join(known, F.col("node") == F.col("v")).drop("v"), "held")
 
 
-def tiles(classes: DataFrame, held: DataFrame, every: bool) -> DataFrame:
+def tiles(held: DataFrame, every: bool) -> DataFrame:
     """Pairs of classes in different components that share a prefix element and may link by size and signature.
 
-    ``held``: as from ``holders``; ``classes``: node, n, bits. Without ``every``, the likeliest pair of any two
-    components alone; such a turn joins most of them, and leaves the last, complete one little to do.
+    ``held``: as from ``holders``. Without ``every``, each component's likeliest pair alone: as many as components at most,
+    in each task. Such turns join most of them, and leave the last, complete one little to do.
     """
     per_comp = held.groupBy("e", "comp").agg(F.count("*").alias("c"))
     largest = per_comp.groupBy(F.col("e").alias("oe")).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
     sides = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
     largest = largest.select("oe", F.col("top.comp").alias("most"), sides(F.col("top.c")).alias("wide"), sides(F.col("m") - F.col("top.c")).alias("narrow"))
     rows = held.join(largest, F.col("e") == F.col("oe")).drop("oe")
-    rows = rows.join(classes.select(F.col("node").alias("v"), "n", "bits"), F.col("node") == F.col("v")).drop("v")
     inner = F.col("comp") == F.col("most")
     part = F.pmod(F.xxhash64("node"), F.when(inner, F.col("wide")).otherwise(F.col("narrow"))).cast("int")
     # x: a part of the stragglers; y: a part of the largest component, or below 0 another part of the stragglers
@@ -385,9 +393,12 @@ def tiles(classes: DataFrame, held: DataFrame, every: bool) -> DataFrame:
             both = np.concatenate([found["pairs"], new]) if "pairs" in found else new
             if every:
                 found["pairs"] = np.unique(both, axis=0)
-            else:  # the likeliest for each two components
-                both = both[np.lexsort(both.T[[1, 0, 4, 3, 2]])]
-                found["pairs"] = both[np.flatnonzero(np.concatenate([[True], (both[1:, 2:4] != both[:-1, 2:4]).any(axis=1)]))] if len(both) else both
+            else:
+                both = both[np.lexsort(both.T[[1, 0, 4]])]
+                ends = np.concatenate([both[:, 2], both[:, 3]])
+                place = np.tile(np.arange(len(both)), 2)[np.argsort(ends, kind="stable")]
+                heads = np.unique(np.sort(ends), return_index=True)[1]
+                found["pairs"] = both[np.unique(np.minimum.reduceat(place, heads))] if len(both) else both
             return len(found["pairs"]) > HELD >> 2
 
         for batch in batches:
@@ -499,7 +510,8 @@ def components(links: DataFrame) -> DataFrame:
     Partitions contract their own links first. If one held them all, that is the result; else large-star and small-star
     steps follow until nothing changes.
     """
-    edges = contract(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
+    tasks = -(-links.count() // CONTRACTED) or 1
+    edges = contract(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").coalesce(tasks))
     mark = None
     while True:
         low, high, *now = edges.agg(F.min("task"), F.max("task"), F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
@@ -512,7 +524,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("x") == F.col("u")).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least.select(F.col("x").alias("u"), "m"), F.col("x") == F.col("u")).where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = contract(small.union(least).distinct())
+        edges = contract(cut(small.union(least).distinct(), "edges").coalesce(tasks))
     return edges.select(F.col("x").alias("node"), F.col("y").alias("comp")).union(edges.select(F.col("y").alias("node"), F.col("y").alias("comp")).distinct())
 
 
@@ -542,21 +554,14 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def joined(rows: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, class_id, comp and component_id for every row of a prepared table."""
     some = rows.where("n > 0")
-    classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min_by("keys", "row").alias("keys"), F.min_by("bits", "row").alias("bits")), "classes")
-    links, comps = None, classes.withColumn("comp", F.col("node"))
-    for turn in range(ROUNDS):
-        groups = comps.select("node", "comp", F.explode("keys").alias("key"))
-        found = verify(stars(groups, classes, turn), rows)
-        links = found if links is None else links.union(found)
-        if found.isEmpty():
-            break
-        comps = cut(labelled(classes, links).select("node", "keys", "comp"), "comps")
-    held = holders(rows.select("row", "prefix").join(comps.select("node", "comp"), F.col("row") == F.col("node")).select("node", "comp", "prefix"))
+    classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), *(F.min_by(c, "row").alias(c) for c in ("keys", "prefix", "bits"))), "classes")
+    links = verify(stars(classes.select("node", "n", F.explode("keys").alias("key"))), rows)
+    held = holders(classes, labelled(classes.select("node", "prefix"), links).select("node", "comp", "prefix"))
     for every in (False, True):
-        links = links.union(verify(tiles(classes, held, every), rows))
+        links = links.union(verify(tiles(held, every), rows))
         if not every:
             comps = labelled(classes.select("node"), links).select(F.col("node").alias("v"), "comp")
-            held = held.drop("comp").join(comps, F.col("node") == F.col("v")).select("e", "node", "comp")
+            held = held.drop("comp").join(comps, F.col("node") == F.col("v")).drop("v")
     comps = labelled(classes.select("node", "d1", "d2", "doc"), links)
     named = comps.groupBy("comp").agg(F.min("doc").alias("component_id"))
     comps = cut(comps.join(named, "comp").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node", "comp", "component_id"), "comps")
