@@ -11,12 +11,15 @@ terms weigh most, do not loosen the bounds of long ones. The sums of a passage's
 passages of a batch at once; WAND then walks through the blocks that may hold an item above the threshold.
 
 The index goes to every task, so its size is bounded: items are dealt to shards of at most ``SHARD_CHARS``
-characters, about, by hash, and texts are searched against each shard. Nothing is shuffled.
+characters, about, by hash, and ``TOGETHER`` shards are searched in one pass over the texts. Document frequencies, the
+mean length and the longest item are those of all items, counted beforehand, so how items are dealt changes no result.
+Texts are not shuffled.
 
 Defined results: words are runs of letters and digits, lower-cased. Null and empty texts leak nothing; items without
 words are never found. An item of one sentence is all question, and its answer counts as found with it. Items shorter
-than 3 words are matched by their whole run of words. Repeated rows each give their own results, repeated items too.
-No items, or no documents: no rows. Other columns are ignored.
+than 3 words are matched by their whole run of words. Of passages that score an item alike, the first is told. Very
+long texts are cut into as many passages as they need; very long items make passages longer. Repeated rows each give
+their own results, repeated items too. No items, or no documents: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import slices, starts
+from weftline.llm.common import cut, slices, starts
 
 THRESHOLD, OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
 BLOCK = 4
-SHARD_CHARS = 1 << 19
+SHARD_CHARS, TOGETHER = 1 << 19, 8
 SHORTEST_PASSAGE = 64
 _END = 1 << 62
 
@@ -73,9 +76,13 @@ def _each(texts: list[str]) -> list[list[str]]:
 
 
 class Index:
-    """Inverted lists of normalised BM25 impacts, in blocks with their maxima."""
+    """Inverted lists of normalised BM25 impacts, in blocks with their maxima.
 
-    def __init__(self, items: list[tuple]):
+    ``everywhere``: where ``items`` are some of more, the number of all that have words, their mean and greatest length
+    in words, and how many hold each of the words of ``items``.
+    """
+
+    def __init__(self, items: list[tuple], everywhere: tuple[int, float, int, dict[str, int]] | None = None):
         split, n = words_of(pa.array([t for _, t in items], pa.string()))
         split, at = split.to_pylist(), starts(n)
         kept = sorted((i for i in range(len(items)) if n[i]), key=lambda i: (n[i], i))
@@ -85,17 +92,19 @@ class Index:
         self.vocabulary = pa.array(vocabulary, pa.string())
         number = {w: k for k, w in enumerate(vocabulary)}
         lengths = np.array([len(t) for t in texts], float)
-        self.longest = int(max(lengths, default=0))
+        of_all = everywhere or (len(texts), float(lengths.mean()) if len(texts) else 1.0, int(max(lengths, default=0)), {})
+        all_items, mean, self.longest, holders = of_all
         counts = [{} for _ in vocabulary]
         for i, t in enumerate(texts):
             for w in t:
                 c = counts[number[w]]
                 c[i] = c.get(i, 0) + 1
-        mean, total = lengths.mean() if len(texts) else 1.0, len(texts)
+        total = len(texts)
         own = np.zeros(total)
         raw = []
-        for c in counts:
-            idf = np.log(1 + (total - len(c) + 0.5) / (len(c) + 0.5))
+        for word, c in zip(vocabulary, counts, strict=True):
+            have = holders.get(word, len(c))
+            idf = np.log(1 + (all_items - have + 0.5) / (have + 0.5))
             impact = {i: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean)) for i, tf in c.items()}
             for i, x in impact.items():
                 own[i] += x
@@ -214,29 +223,52 @@ class Index:
         return [(r, item, *x) for (r, item), x in sorted(best.items())]
 
 
-def shards(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items in lists of about SHARD_CHARS characters at most."""
+def shards(benchmark: DataFrame) -> Iterator[tuple[list[tuple], tuple | None]]:
+    """The items in lists of about SHARD_CHARS characters at most, each with what it must know of all items."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n = max(1, -(-chars // SHARD_CHARS))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    own = lambda k: [tuple(r) for r in rows.where(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+    if n == 1:
+        yield own(0), None
+        return
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found, count = words_of(batch.column(0))
+                at = starts(count)
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(count), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), found)], ["shard", "n", "words"])
+
+    items = cut(rows.select("text", "shard").mapInArrow(split, "shard long, n long, words array<string>").where("n > 0"), "items")
+    total, mean, longest = items.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    each = items.select("shard", F.explode(F.array_distinct("words")).alias("word"))
+    holders = each.groupBy("word").agg(F.count("*").alias("have"))
+    known = cut(each.distinct().join(holders, "word"), "holders")
     for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+        yield own(k), (total or 0, mean or 1.0, longest or 0, dict(known.where(F.col("shard") == k).select("word", "have").collect()))  # words of one shard
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float) -> Iterator[Callable]:
-    """For each shard, a function from a batch, texts last, to its leaks; to be called on executors."""
-    for items in shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # about SHARD_CHARS characters
+    """For every TOGETHER shards, a function that gives a function from a batch, texts last, to its leaks (row, item id,
+    and what ``leaks`` says besides); to be called on executors."""
+    parts = list(shards(benchmark))
+    for a in range(0, len(parts), TOGETHER):
+        shared = docs.sparkSession.sparkContext.broadcast(parts[a : a + TOGETHER])  # about TOGETHER * SHARD_CHARS characters
 
-        def searcher(shared=shared) -> tuple[Index, Callable[[pa.RecordBatch], list]]:
-            index = Index(shared.value)
+        def searcher(shared=shared) -> Callable[[pa.RecordBatch], list]:
+            indexes = [Index(*part) for part in shared.value]
 
             def search(batch: pa.RecordBatch) -> list:
                 words, n = words_of(batch.column(batch.num_columns - 1))
-                code = np.asarray(pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1), dtype=np.int64)
-                return index.leaks(code, n, threshold, overlap)
+                out = []
+                for index in indexes:
+                    code = np.asarray(pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1), dtype=np.int64)
+                    out += [(h[0], index.ids[h[1]], *h[2:]) for h in index.leaks(code, n, threshold, overlap)]
+                return out
 
-            return index, search
+            return search
 
         yield searcher
 
@@ -250,12 +282,12 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
     for searcher in _searched(docs, benchmark, threshold, overlap):
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
-            index, search = searcher()
+            search = searcher()
             for batch in slices(batches, most=4 << 20):
                 if hits := search(batch):
                     rest = ((2, pa.float64()), (3, pa.int64()), (4, pa.float64()), (5, pa.float64()))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], item_type), *(pa.array([h[k] for h in hits], t) for k, t in rest)],
+                        [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], item_type), *(pa.array([h[k] for h in hits], t) for k, t in rest)],
                         ["doc_id", "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
                     )
 
@@ -270,7 +302,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     for searcher in _searched(docs, benchmark, threshold, overlap):
 
         def run(batches: Iterator[pa.RecordBatch], searcher=searcher) -> Iterator[pa.RecordBatch]:
-            _, search = searcher()
+            search = searcher()
             for batch in slices(batches, most=4 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[h[0] for h in search(batch)]] = False
