@@ -359,6 +359,27 @@ def test_decontamination(spark, docs):
     assert decontaminate.find(docs([]), bench).count() == 0
 
 
+def test_decontamination_whatever_the_shards(spark, docs, monkeypatch):
+    """Half items near the threshold, repeated and tied items: the same rows however the items are dealt."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(900)]
+    weights = [1 / (k + 1) for k in range(900)]
+    text = lambda n: " ".join(rng.choices(words, weights=weights, k=n))
+    items = [(i, f"{text(rng.randint(8, 40))}?\n{text(6)}") for i in range(600)]
+    items += [(600, items[0][1]), (0, items[0][1]), (601, None), (602, "..."), (603, text(700))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    half = lambda t: " ".join(t.split()[: len(t.split()) * 11 // 20])
+    rows = [(i, f"{text(90)} {half(items[7 * i][1])} {text(40)} {items[7 * i + 1][1]}") for i in range(60)] + [(99, items[-1][1] * 2), (100, " ".join(t for _, t in items[:300])), (100, items[0][1])]
+    found = []
+    for chars, together in ((1 << 30, 8), (1000, 3), (9000, 8)):
+        monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        got = decontaminate.find(docs(rows), bench, overlap=0.3)
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.first_word, r.question_overlap, r.answer_overlap) for r in got.collect()))
+    assert len(found[0]) > 60
+    assert found[0] == found[1] == found[2]
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [0, 1, 31, 33, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK + 77])
 def test_rans_round_trip(n):
@@ -454,7 +475,7 @@ def test_jaccard_components(docs, seed):
 def test_jaccard_tiles_alone(docs, monkeypatch):
     """Without the stars' links, and with small tiles, the tiles find every link by themselves."""
     monkeypatch.setattr(jaccard_join, "TILE", 3)
-    monkeypatch.setattr(jaccard_join, "stars", lambda groups, classes, turn: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "stars", lambda groups: groups.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     rows = near_copies(3)
     got = sorted(tuple(r) for r in jaccard_join.join(docs(rows)).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute_components(rows)
@@ -474,6 +495,7 @@ def test_components_over_many_partitions(spark, monkeypatch):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     monkeypatch.setattr(jaccard_join, "contract", lambda edges, whole=jaccard_join.contract: whole(edges.repartition(4)))
+    monkeypatch.setattr(jaccard_join, "CONTRACTED", 500)
     got = dict(jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {x: find(x) for pair in links for x in pair if pair[0] != pair[1]}
 
@@ -520,21 +542,89 @@ def test_host_words():
 
 
 def test_url_rules(spark):
-    text = "cheap pills online shop today " * 20 + "good news about garden work and music " * 30
-    urls = ["http://Example.COM/en/1?x=1#y", "https://www.example.com/en/2", "http://a.b.example.com/en/", "http://example.com/fr", "http://x.net/es/1", "http://x.net/en/1", "http://notexample.com/en/", "http://x.com", None, "no scheme", "http://", "http://cheappills.org/a", "http://gardenmusic.org/news", "http://cheappills.org/b", "http://x.net?q=/es/"]
+    text = "cheap pills online shop today discount " * 20 + "good news about garden work and music " * 30
+    urls = ["http://Example.COM/en/1?x=1#y", "https://www.example.com/en/2", "http://a.b.example.com/en/", "http://example.com/fr", "http://x.net/es/1", "http://x.net/en/1", "http://notexample.com/en/", "http://x.com", None, "no scheme", "http://", "http://x.net?q=/es/", "http://cheappills.org/a", "http://gardenmusic.org/news", "http://pills.org/b", f"http://{'x' * 3000}.org/{'y' * 9000}"]
+    urls += [f"http://discountpills.org/{i}" for i in range(60)] + [f"http://gardennews.org/{i}" for i in range(900)] + ["http://gardennews.org/1", "http://discount.org/shop"]
     pages = spark.createDataFrame([(i, u, f"<p>{text}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for name in ("host", "words", "weight", "n"):
+        pages = pages.withColumn(name, F.lit("clash"))
     got = {r.page_id: r for r in url_filter.judge(pages, RULES).collect()}
     assert len(got) == len(urls)
     assert [(got[i].rule, got[i].verdict) for i in range(5)] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("com/", "allow"), ("net/es/", "block")]
     assert (got[0].host, got[0].path) == ("example.com", "/en/1")
-    assert [got[i].rule for i in (5, 7, 8, 9, 10, 14)] == [None] * 6
+    assert [got[i].rule for i in (5, 7, 8, 9, 10, 11, 12, 15)] == [None] * 8
     assert got[6].rule == "com/"
     assert (got[8].host, got[8].path) == ("", "")
-    assert got[11].verdict == got[13].verdict == "block"
-    assert got[12].verdict == "allow"
+    assert (got[12].verdict, got[13].verdict, got[14].verdict) == ("block", "allow", "block")
+    assert got[8].log_odds == got[9].log_odds < 0
+    assert got[15].verdict == "allow"
+    assert got[len(urls) - 1].verdict == "block"  # by the company that its word kept
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def brute_url_verdicts(rows, rules):
+    """Splitting by trying all ways, naive Bayes from its definition."""
+    words = Counter(w for _, _, html in rows for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower()))
+    few = max(1, sum(words.values()) // 100_000)
+    words.update({w: few for w in url_filter.UNWANTED})
+    total, best = sum(words.values()), {"": (0.0, ())}
+
+    def price(w):
+        return math.log(words[w] / total) if words[w] else math.log(1 / total) - 2.3 * len(w)
+
+    def split(name):
+        if name not in best:
+            best[name] = max(((split(name[:k])[0] + price(name[k:]), (*split(name[:k])[1], name[k:])) for k in range(len(name))), key=lambda x: x[0])
+        return best[name]
+
+    told = {w for _, text in rules for w in re.findall("[a-z]+", text)}
+    parsed = {}
+    for i, url, _ in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = lower(re.match("[^/?#]*", rest)[0])
+        path = re.match("[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(t), v, t) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        rule = max(fits, key=lambda x: x[0]) if fits else (0, None, None)
+        found = [w for run in re.findall("[a-z]+", host) for w in split(run)[1]] + re.findall("[a-z]+", path.lower())
+        parsed[i] = (host, path, rule[2], rule[1], [w for w in found if w not in told])
+    bad = {i: bool(set(x[4]) & set(url_filter.UNWANTED)) for i, x in parsed.items()}
+    count = {v: Counter(w for i, x in parsed.items() if bad[i] == v for w in x[4] if w not in url_filter.UNWANTED) for v in (True, False)}
+    all_words = {v: sum(count[v].values()) for v in (True, False)}
+
+    def share(v, w):
+        usual = url_filter.SMOOTH * (count[True][w] + count[False][w]) / sum(all_words.values())
+        return (count[v][w] + usual) / (all_words[v] + url_filter.SMOOTH)
+
+    out = {}
+    for i, (host, path, rule, said, ws) in parsed.items():
+        odds = math.log(url_filter.PRIOR) + math.log(url_filter.KNOWN) * sum(w in url_filter.UNWANTED for w in ws)
+        odds += sum(math.log(share(True, w) / share(False, w)) for w in ws if count[True][w] or count[False][w])
+        out[i] = (host, path, rule, said or ("block" if odds > 0 else "allow"), odds)
+    return out
+
+
+@needs_data
+def test_url_verdicts_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(-1 - i, f"http://{h}.org/x", "") for i, h in enumerate(("onlinecasino", "casino-win", "ads-track", "garden"))]
+    want = brute_url_verdicts(rows, RULES)
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert len(got) == len(want)
+    for i, (host, path, rule, verdict, odds) in want.items():
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].log_odds == pytest.approx(odds, abs=1e-6)
+        assert got[i].verdict == verdict or abs(odds) < 1e-6
+
+
+def test_url_errors(spark):
+    html = "<p>" + "casino win spam farm garden news music city " * 40 + "</p>"
+    pages = [(i, f"http://{h}.org/{i}", html) for i, h in enumerate(["casinowin", "spam-farm", "gardennews", "musiccity", "gardenmusic"] * 40)]
+    found = {r.bad: (r.pages, r.wrong) for r in url_filter.errors(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert found[True][0] > 5
+    assert found[False][0] > 5
+    assert found[True][1] == found[False][1] == 0
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 def luhn(d):
     s = 0
