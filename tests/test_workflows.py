@@ -20,9 +20,9 @@ def ctx(spark):
 
 
 def test_plugins():
-    assert kind_of_plugin("FlowBasePluginsGui.FlowSelect.FlowSelect") == "select"
-    assert kind_of_plugin("FlowBasePluginsGui.MultiRowFormula.MultiRowFormula") == "multi_row_formula"
-    assert kind_of_plugin("FlowBasePluginsGui.RecordID.RecordID") == "record_id"
+    assert kind_of_plugin("VendorGui.VendorSelect.VendorSelect") == "select"
+    assert kind_of_plugin("VendorGui.MultiRowFormula.MultiRowFormula") == "multi_row_formula"
+    assert kind_of_plugin("VendorGui.RecordID.RecordID") == "record_id"
     assert kind_of_plugin("A.RegEx.RegEx") == "reg_ex"
     assert kind_of_plugin("Other.Thing") == "thing"
 
@@ -36,8 +36,8 @@ def test_connections():
 
 
 def test_nested_and_disabled_tools():
-    inner = Q.node(2, Q.P + "Browse.BrowseV2", "")
-    text = Q.document([Q.node(1, Q.P + "TextInput.TextInput", ""), f'<Node ToolID="9"><GuiSettings Plugin="G.ToolContainer.ToolContainer" /><Properties><Configuration><Disabled value="True" /></Configuration></Properties><ChildNodes>{inner}</ChildNodes></Node>'], [Q.edge("1:Output", "2:Input")])
+    inner = Q.node(2, "BrowseV2", "")
+    text = Q.document([Q.node(1, "TextInput", ""), f'<Node ToolID="9"><GuiSettings Plugin="G.ToolContainer.ToolContainer" /><Properties><Configuration><Disabled value="True" /></Configuration></Properties><ChildNodes>{inner}</ChildNodes></Node>'], [Q.edge("1:Output", "2:Input")])
     w = parse_text(text)
     assert [t.id for t in w.tools] == [1]
     assert not w.connections
@@ -51,12 +51,12 @@ def test_graph_errors():
 
 
 def test_order_and_chains():
-    g = parse_text(Q.MINIMAL).graph()
-    assert g.order == [1, 2, 3, 4, 5]
-    assert g.chains() == [[1, 2, 3, 4, 5]]
+    g = parse_text(Q.SHIPPED).graph()
+    assert g.order == [1, 2, 3, 4, 5, 6, 7]
+    assert g.chains() == [[1, 2, 3, 4, 5, 6, 7]]
     assert g.sources == [1]
-    assert g.sinks == [5]
-    assert "5 tools" in overview(parse_text(Q.MINIMAL))
+    assert g.sinks == [7]
+    assert "7 tools" in overview(parse_text(Q.SHIPPED))
     wide = parse_text(Q.WIDE).graph()
     place = {i: k for k, i in enumerate(wide.order)}
     assert all(place[c.origin] < place[c.destination] for edges in wide.into.values() for c in edges)
@@ -141,16 +141,90 @@ def test_repair_columns(spark):
 
 
 def test_output_and_cli(spark, tmp_path, capsys):
-    spark.sql("select 1L o_orderkey, 7L o_custkey, 200D o_totalprice").createOrReplaceTempView("orders")
-    (tmp_path / "a.yxmd").write_text(Q.MINIMAL)
+    spark.sql("select 'R' l_returnflag, timestamp '1995-02-03' l_shipdate, 40D l_quantity, 200D l_extendedprice, 0.5D l_discount").createOrReplaceTempView("lineitem")
+    (tmp_path / "a.yxmd").write_text(Q.SHIPPED)
     assert main([str(tmp_path), "--dry-run"]) == 0
-    assert "5 tools" in capsys.readouterr().out
+    assert "7 tools" in capsys.readouterr().out
     assert main([str(tmp_path / "a.yxmd"), "--output-dir", str(tmp_path / "out"), "--no-registry"]) == 0
-    assert spark.read.parquet(str(tmp_path / "out/a/tool_5")).first().TotalAmount == 250
+    assert spark.read.parquet(str(tmp_path / "out/a/tool_7")).first().largest == 100
     assert "Summarize" in (tmp_path / "out/a_docs.md").read_text() or "summarize" in (tmp_path / "out/a_docs.md").read_text()
     assert main([str(tmp_path / "none.yxmd")]) == 2
 
 
+def test_jdbc(spark, ctx):
+    """Over the database that comes with Spark, kept in memory."""
+    url = "jdbc:derby:memory:weftline;create=true"
+    spark.range(5).selectExpr("id K", "id * 2 V").write.format("jdbc").option("url", url).option("dbtable", "T").save()
+    flow = Flow()
+    a = flow.add("db_file_input", {"File": f"{url}|||select K, V from T where V > 2"})
+    b = flow.add("db_file_input", {"File": f"{url}|||T"})
+    run = compile_workflow(spark, flow.workflow())
+    assert sorted(tuple(r) for r in run.output(a).collect()) == [(2, 4), (3, 6), (4, 8)]
+    assert run.output(b).count() == 5
+
+
+def test_union_by_position_pads(ctx, spark):
+    a, b = spark.sql("select 1 x"), spark.sql("select 2 p, 'q' X, 3.5D z")
+    out = TOOLS["union"]({"#1": a, "#2": b}, {"Mode": "ByPos"}, ctx)["Output"]
+    assert out.columns == ["x", "X_2", "z"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, None, None), (2, "q", 3.5)]
+    assert any("missing" in w for w in ctx.warnings)
+
+
+def test_duplicates_without_keys(ctx, spark):
+    df = spark.sql("select * from values (1, null), (1, null), (1, null), (2, 'a'), (null, null), (null, null) t(a, b)")
+    out = TOOLS["unique"]({"Input": df}, {}, ctx)
+    assert sorted(map(tuple, out["Unique"].collect()), key=repr) == [(1, None), (2, "a"), (None, None)]
+    assert sorted(map(tuple, out["Duplicates"].collect()), key=repr) == [(1, None), (1, None), (None, None)]
+
+
+def test_multi_row_over_runs(ctx, spark, monkeypatch):
+    """Windows over runs of rows give what one window over all rows gives."""
+    from pyspark.sql import Window
+
+    from weftline.operators import rows
+
+    monkeypatch.setattr(rows, "RUN", 7)
+    df = ctx.ordered(spark.range(50).selectExpr("id", "if(id % 5 = 0, null, id * id) v"), [("id", True)])
+    w = Window.orderBy("id")
+    for others, edge in (("Null", None), ("Empty", 0), ("Closest", "v")):
+        got = TOOLS["multi_row_formula"]({"Input": df}, {"CreateField_Name": "x", "CreateField_Type": "Double", "OtherRows": others, "Expression": "[Row-3:v] + [Row+2:v]"}, ctx)["Output"]
+        back, ahead = F.lag("v", 3).over(w), F.lead("v", 2).over(w)
+        if edge == 0:
+            back, ahead = F.when(F.col("id") < 3, 0).otherwise(back), F.when(F.col("id") > 47, 0).otherwise(ahead)
+        elif edge:
+            back, ahead = F.when(F.col("id") < 3, F.lit(None)).otherwise(back), F.when(F.col("id") > 47, F.lit(49 * 49)).otherwise(ahead)
+        want = df.select("id", (back + ahead).alias("x")).collect()
+        assert sorted((r.id, r.x) for r in got.collect()) == [(r.id, r.x) for r in want]
+    got = TOOLS["multi_row_formula"]({"Input": df}, {"CreateField_Name": "x", "CreateField_Type": "Double", "Expression": "IIF([v] > 100, [Row-1:x], [Row-1:x] + [id])"}, ctx)["Output"]
+    want, total = [], 0
+    for r in df.collect():
+        total += 0 if r.v is not None and r.v > 100 else r.id
+        want.append((r.id, total))
+    assert sorted((r.id, r.x) for r in got.collect()) == want
+
+
+def test_tiles_over_all_rows(ctx, spark):
+    for n, tiles in ((10, 4), (3, 5), (12, 4), (0, 3)):
+        df = ctx.ordered(spark.range(n), [("id", True)])
+        got = TOOLS["tile"]({"Input": df}, {"NumTiles": str(tiles)}, ctx)["Output"]
+        want = [tuple(r) for r in spark.sql(f"select id, ntile({tiles}) over (order by id) t from range({n}) order by id").collect()]
+        assert sorted((r.id, r.Tile_Num) for r in got.collect()) == want
+
+
+def test_reshaping_odd_rows(ctx, spark):
+    df = spark.sql("select * from values ('a b', 1), (null, 2), ('a-b', null), ('a b', 3) t(h, v)")
+    tab = TOOLS["cross_tab"]({"Input": df}, {"HeaderField": {"field": "h"}, "DataField": {"field": "v"}, "Methods": {"Method": [{"method": "Sum"}]}}, ctx)["Output"]
+    assert tab.columns == ["Null", "a_b", "a_b_"]
+    assert tuple(tab.first()) == (2, 4, None)
+    assert TOOLS["cross_tab"]({"Input": df.limit(0)}, {"HeaderField": {"field": "h"}, "DataField": {"field": "v"}}, ctx)["Output"].count() == 0
+    rows = TOOLS["transpose"]({"Input": df}, {"DataFields": {"Field": [{"field": "*Unknown", "selected": "True"}]}}, ctx)["Output"]
+    assert sorted(map(tuple, rows.collect()), key=repr)[:2] == [("h", "a b"), ("h", "a b")]
+    named = TOOLS["dynamic_rename"]({"Input": ctx.ordered(spark.sql("select * from values (1, 'x', null), (1, 'x', null), (2, 'y', 'z') t(a, b, c)"), [("a", True)])}, {"RenameMode": "FirstRow"}, ctx)["Output"]
+    assert named.columns == ["1", "x", "c"]
+    assert sorted(map(tuple, named.collect())) == [(1, "x", None), (2, "y", "z")]
+
+
 def test_streaming(spark, tmp_path):
     from weftline.streaming import apply
 

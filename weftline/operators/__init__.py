@@ -1,6 +1,6 @@
 """Workflow tools as functions: (inputs by anchor, configuration, context) to outputs by anchor, all lazy."""
 
-from weftline.operators import macros, rows, text
+from weftline.operators import macros, reshape, rows, text
 from weftline.operators.context import Context, ToolError
 
 #: Tool type to function.
@@ -21,6 +21,12 @@ TOOLS = {
     "sample": rows.sample,
     "record_id": rows.record_id,
     "tile": rows.tile,
+    "cross_tab": reshape.cross_tab,
+    "transpose": reshape.transpose,
+    "generate_rows": reshape.generate_rows,
+    "dynamic_rename": reshape.dynamic_rename,
+    "dynamic_select": reshape.dynamic_select,
+    "field_info": reshape.field_info,
     "find_replace": text.find_replace,
     "reg_ex": text.regex,
     "text_to_columns": text.text_to_columns,

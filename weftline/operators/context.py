@@ -111,16 +111,38 @@ def cast(col: Column, kind: str, to: T.DataType | None) -> Column:
     return col.try_cast(to)
 
 
+def _ranged(df: DataFrame, keys: list[tuple[str, bool]]) -> tuple[DataFrame, list[Column]]:
+    """Rows range-sorted over partitions, each with its partition's number; persisted, so that all who use them see the
+    same partitions. Other columns break ties, so that only equal rows could change places if a part is computed again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = {k.lower() for k, _ in keys}
+    ties = [(f.name, True) for f in df.schema if f.name.lower() not in known and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    by = sorting([*keys, *ties])
+    return df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()), by
+
+
+def running(df: DataFrame, keys: list[tuple[str, bool]], amount: str, name: str) -> DataFrame:
+    """A column with the sum of ``amount`` over all rows up to and with each, in the order of ``keys``.
+
+    The window goes over the rows of one range of keys; ranges are added up by their sums, one row each.
+    """
+    parts, by = _ranged(df, keys)
+    parts = parts.persist()
+    sums = parts.groupBy(F.col("__part").alias("__p")).agg(F.sum(amount).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))  # one row for each partition
+    own = F.sum(amount).over(Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    out = parts.withColumn("__own", own).join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.coalesce("__own", F.lit(0)) + F.col("__before")).drop("__part", "__own", "__p", "__before")
+
+
 def numbered(df: DataFrame, keys: list[tuple[str, bool]], name: str, start: int = 0) -> DataFrame:
     """A column of running numbers in the order of ``keys``, without a window over all rows in one task.
 
     Rows are range-sorted and numbered within partitions; counts of partitions, one row each, give the offsets.
-    The sorted rows are persisted, so both steps see the same partitions.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = sorting(keys)
-    parts = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    parts = parts.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    parts, _ = _ranged(df, keys)
+    parts = parts.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")
     offsets = counts.select(F.col("__part").alias("__p"), "__n").select("__p", before.alias("__before"))  # one row for each partition

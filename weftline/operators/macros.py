@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.compiler import find, quoted
-from weftline.operators.context import Context, ToolError, listed, numbered, truth, value_of
+from weftline.operators.context import Context, ToolError, listed, numbered, running, truth, value_of
 from weftline.operators.rows import Frames, only, put
 
 
@@ -93,7 +93,10 @@ def select_records(inputs: Frames, config: dict, ctx: Context) -> Frames:
 
 
 def cleanse(inputs: Frames, config: dict, ctx: Context) -> Frames:
-    """Nulls, white space, unwanted characters and case, in text fields; nulls also in numbers."""
+    """Nulls, white space, unwanted characters and case, in text fields; nulls also in numbers.
+
+    Which columns hold nulls only (``drop_null_columns``) is looked up when the tool is compiled: one job, one row.
+    """
     df, v = only(inputs), values(config)
     on = lambda *names, default=False: truth(_pick(v, *names, default=str(default)))
     # Numbers of the check boxes in documents.
@@ -156,7 +159,11 @@ def spearman(inputs: Frames, config: dict, ctx: Context) -> Frames:
     # ranks of distinct values from their counts: the counts, not the rows, go through a window
     for c in ("__a", "__b"):
         counts = both.groupBy(*names, c).count()
-        after = F.sum("count").over(Window.partitionBy(*names).orderBy(F.desc(c)))
+        if names:
+            counts = counts.withColumn("__after", F.sum("count").over(Window.partitionBy(*names).orderBy(F.desc(c))))
+        else:
+            counts = running(counts, [(c, False)], "count", "__after")
+        after = F.col("__after")
         ranks = counts.select(*(F.col(n).alias(f"{n}_") for n in names), F.col(c).alias("__v"), (after - (F.col("count") - 1) / 2).alias(f"{c}_rank"))
         test = F.col(c) == F.col("__v")
         for n in names:
@@ -212,9 +219,9 @@ def binning(inputs: Frames, config: dict, ctx: Context) -> Frames:
         if equal_records:
             # from the counts of distinct values, whose window has fewer rows than the data
             counts = df.where(c.isNotNull()).groupBy(c.alias("__v")).count()
-            w = Window.orderBy("__v")
-            before = F.sum("count").over(w) - F.col("count")
-            total = F.sum("count").over(Window.partitionBy())
+            total = F.col("__all")
+            counts = running(counts, [("__v", True)], "count", "__upto").join(F.broadcast(df.agg(F.count(c).alias("__all"))))  # one row
+            before = F.col("__upto") - F.col("count")
             tiles = counts.select("__v", (F.floor(before * n / total) + 1).cast("int").alias(f"{name}_Tile_Num"))
             out = out.join(tiles, c == F.col("__v"), "left").drop("__v")
         else:
@@ -247,12 +254,16 @@ def base64_encoder(inputs: Frames, config: dict, ctx: Context) -> Frames:
 
 
 def pipe_to_table(inputs: Frames, config: dict, ctx: Context) -> Frames:
-    """Each row's ``out`` split at pipes, into columns 1 to Columns."""
+    """Each row's ``out`` split at pipes, into columns 1, 2, ..., in the order of rows; other columns go.
+
+    There are as many columns as the longest row has parts, which is looked up when the tool is compiled (one job, one
+    row); a setting ``Columns`` saves that. Missing parts are null. A null ``out`` gives a row of nulls.
+    """
     df, v = only(inputs), values(config)
     name = find(df.schema, _pick(v, "Field", default="out")).name
-    n = int(_pick(v, "Columns", default="1"))
     parts = F.split(quoted(name), r"\|", -1)
-    return {"Output": ctx.passed_on(df, df.select(*(quoted(c) for c in df.columns if c != name), *(F.try_element_at(parts, F.lit(i)).alias(str(i)) for i in range(1, n + 1))))}
+    n = int(_pick(v, "Columns", default="0")) or max(1, df.agg(F.max(F.size(parts))).first()[0] or 0)
+    return {"Output": ctx.passed_on(df, df.select(*(F.try_element_at(parts, F.lit(i)).alias(str(i)) for i in range(1, n + 1))))}
 
 
 def stub(what: str):

@@ -168,6 +168,8 @@ def multi_row_formula(inputs: Frames, config: dict, ctx: Context) -> Frames:
     groups = names_of((config.get("GroupByFields") or {}).get("Field") if isinstance(config.get("GroupByFields"), dict) else None)
     tree = parse(value_of(config.get("Expression")))
     keys = ctx.order(df, "multi-row formula")
+    if not groups:
+        return {"Output": ctx.passed_on(df, _in_runs(df, name, tree, keys, to, others, truth(config.get("UpdateField")), ctx))}
     window = Window.partitionBy(*map(quoted, groups)).orderBy(*sorting(keys))
     existing = {c.lower() for c in df.columns}
     own = [n for n in walk(tree) if n[0] == "row" and n[2].lower() == name.lower()]
@@ -191,21 +193,65 @@ def multi_row_formula(inputs: Frames, config: dict, ctx: Context) -> Frames:
     return {"Output": ctx.passed_on(df, out)}
 
 
+#: Rows of a run of rows that stands for a group where there are no groups.
+RUN = 1 << 16
+
+
+def _in_runs(df: DataFrame, name: str, tree, keys, to, others: str, update: bool, ctx: Context) -> DataFrame:
+    """A multi-row formula over all rows: rows are numbered and windows go over runs of RUN rows.
+
+    Each run has copies of the rows around it that the formula reaches. Running sums add up the sums of the runs
+    before. Other recursive forms have to go through all rows in turn, in one task.
+    """
+    reach = max([abs(n[1]) for n in walk(tree) if n[0] == "row"], default=1)
+    refers = [n for n in walk(tree) if n[0] == "row" and n[2].lower() == name.lower()]
+    recursive = bool(refers) and (not update or any(n[1] < 0 for n in refers))
+    added = _added(tree, name) if recursive else None
+    if recursive and added is None:
+        ctx.warn("multi-row formula: without groups, a recursion that is no running sum goes through all rows in one task")
+        return _recursive(df, name, tree, [], keys, Window.partitionBy().orderBy(*sorting(keys)), to, others, ctx)
+    at, width = F.col("__i"), F.lit(max(RUN, reach))
+    run = lambda i: F.floor(i / width).cast("long")
+    rows = numbered(df, keys, "__i")
+    rows = rows.withColumn("__run", F.explode(F.sequence(run(F.greatest(at - reach, F.lit(0))), run(at + reach))))
+    window = Window.partitionBy("__run").orderBy("__i")
+    existing = {c.lower() for c in df.columns}
+
+    def other(offset: int, column: str) -> Column:
+        kind = kind_of(find(df.schema, column).dataType)
+        value = (F.lag if offset < 0 else F.lead)(quoted(column), abs(offset)).over(window)
+        if others == "empty":
+            empty = {"num": F.lit(0), "str": F.lit("")}.get(kind)
+            return value if empty is None else F.when(_beyond(offset, window), empty).otherwise(value)
+        if others == "closest":
+            edge = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            return F.when(_beyond(offset, window), (F.first if offset < 0 else F.last)(quoted(column)).over(edge)).otherwise(value)
+        return value
+
+    col, kind = Compiler(ctx.scope(df, row=other)).compile(added if recursive else tree)
+    new = F.coalesce(col.cast("double"), F.lit(0.0)) if recursive else cast(col, kind, to) if to is not None and name.lower() not in existing else col
+    rows = rows.withColumn("__new", new).where(F.col("__run") == run(at))
+    if recursive:
+        sums = rows.groupBy(F.col("__run").alias("__r")).agg(F.sum("__new").alias("__n"))
+        before = F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sums.select("__r", F.coalesce(before, F.lit(0.0)).alias("__before"))  # a row for each RUN rows
+        rows = rows.join(offsets, F.col("__run") == F.col("__r"))
+        total = F.sum("__new").over(Window.partitionBy("__run").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+        rows = rows.withColumn("__new", total.try_cast(to) if to is not None else total)
+    kept = put(rows.select(*map(quoted, df.columns), "__new"), name, F.col("__new"))
+    return kept.drop("__new")
+
+
 def _beyond(offset: int, window) -> Column:
     return (F.lag if offset < 0 else F.lead)(F.lit(True), abs(offset)).over(window).isNull()
 
 
-def _recursive(df: DataFrame, name: str, tree, groups: list[str], keys, window, to, others: str, ctx: Context) -> DataFrame:
-    before = ("row", -1, name)
+def _added(tree, name: str):
+    """The tree of what a recursive formula adds to the row before, or None if that is not all it does."""
     is_before = lambda n: n[0] == "row" and n[1] == -1 and n[2].lower() == name.lower()
     mentions = lambda n: any(x[0] == "row" and x[2].lower() == name.lower() for x in walk(n))
-    running = Window.partitionBy(*map(quoted, groups)).orderBy(*sorting(keys)).rowsBetween(Window.unboundedPreceding, 0)
-
-    def lagged(offset: int, column: str) -> Column:
-        return (F.lag if offset < 0 else F.lead)(quoted(column), abs(offset)).over(window)
 
     def step(node):
-        """The tree of what is added to the row before, or None."""
         if is_before(node):
             return ("lit", 0)
         if node[0] == "bin" and node[1] in "+-" and is_before(node[2]) and not mentions(node[3]):
@@ -220,14 +266,22 @@ def _recursive(df: DataFrame, name: str, tree, groups: list[str], keys, window,
             return None if last is None or any(v is None for _, v in parts) else ("if", parts, last)
         return None
 
-    added = step(tree)
+    return step(tree)
+
+
+def _recursive(df: DataFrame, name: str, tree, groups: list[str], keys, window, to, others: str, ctx: Context) -> DataFrame:
+    so_far = Window.partitionBy(*map(quoted, groups)).orderBy(*sorting(keys)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def lagged(offset: int, column: str) -> Column:
+        return (F.lag if offset < 0 else F.lead)(quoted(column), abs(offset)).over(window)
+
+    added = _added(tree, name)
     if added is not None:
         col, _ = Compiler(ctx.scope(df, row=lagged)).compile(added)
         marked = df.withColumn("__step", F.coalesce(col.cast("double"), F.lit(0.0)))
-        total = F.sum("__step").over(running)
+        total = F.sum("__step").over(so_far)
         out = put(marked, name, total.try_cast(to) if to is not None else total).drop("__step")
         return out
-    del before
     # row by row: the values of the other columns that the expression names come along as columns
     flat, used = {}, []
 
@@ -406,9 +460,15 @@ def union(inputs: Frames, config: dict, ctx: Context) -> Frames:
             for c in f.columns:
                 first.setdefault(c.lower(), c)
         frames = [f.select(*(quoted(c).alias(first[c.lower()]) for c in f.columns)) for f in frames]
-    else:
-        least = min(len(f.columns) for f in frames)
-        frames = [f.select(*(quoted(c) for c in f.columns[:least])) for f in frames]
+    else:  # the further columns of longer inputs stay, null for the others
+        longest = max(frames, key=lambda f: len(f.columns))
+        if any(len(f.columns) < len(longest.columns) for f in frames):
+            ctx.warn("union: inputs differ in their number of columns; missing ones are null")
+        names = [c for c in frames[0].columns]
+        for f in longest.schema[len(names) :]:
+            names.append(f.name if f.name.lower() not in {n.lower() for n in names} else f"{f.name}_{len(names) + 1}")
+        kinds = [f.dataType for f in longest.schema]
+        frames = [f.select(*(quoted(c).alias(n) for c, n in zip(f.columns, names, strict=False)), *(F.lit(None).cast(k).alias(n) for k, n in list(zip(kinds, names, strict=True))[len(f.columns) :])) for f in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True) if by_name else out.union(f)
@@ -478,8 +538,9 @@ def unique(inputs: Frames, config: dict, ctx: Context) -> Frames:
     df = only(inputs)
     fields = config.get("UniqueFields")
     keys = names_of(fields.get("Field") if isinstance(fields, dict) else fields)
-    if not keys:
-        return {"Unique": df.distinct(), "Duplicates": df.groupBy(*map(quoted, df.columns)).count().where("count > 1").drop("count")}
+    if not keys:  # all rows but one of each
+        again = F.explode(F.sequence(F.lit(2), F.col("__n").cast("int")))
+        return {"Unique": df.distinct(), "Duplicates": df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__n", again).drop("__n")}
     by = [quoted(find(df.schema, k).name) for k in keys]
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*sorting(ctx.order(df, "unique"))))
     marked = df.withColumn("__n", n)
@@ -551,6 +612,14 @@ def tile(inputs: Frames, config: dict, ctx: Context) -> Frames:
     fields = config.get("GroupFields")
     groups = [quoted(g) for g in names_of(fields.get("Field") if isinstance(fields, dict) else fields)]
     f = value_of(config.get("Field")) or value_of(config.get("EqualRecordsGroupField"))
-    order = [quoted(find(df.schema, f).name)] if f else sorting(ctx.order(df, "tile"))
-    tiles = df.withColumn("Tile_Num", F.ntile(n).over(Window.partitionBy(*groups).orderBy(*order)))
-    return {"Output": tiles.withColumn("Tile_SequenceNum", F.row_number().over(Window.partitionBy(*groups, "Tile_Num").orderBy(*order)))}
+    keys = [(find(df.schema, f).name, True)] if f else ctx.order(df, "tile")
+    if groups:
+        tiles = df.withColumn("Tile_Num", F.ntile(n).over(Window.partitionBy(*groups).orderBy(*sorting(keys))))
+        return {"Output": tiles.withColumn("Tile_SequenceNum", F.row_number().over(Window.partitionBy(*groups, "Tile_Num").orderBy(*sorting(keys))))}
+    # by running numbers: the first tiles have one row more where rows don't divide evenly
+    rows = numbered(df, keys, "__i").join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__all"))))  # one row
+    i, size, more = F.col("__i"), F.floor(F.col("__all") / n), F.col("__all") % n
+    wide = i < more * (size + 1)
+    number = F.when(wide, F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    within = F.when(wide, i % (size + 1)).otherwise((i - more * (size + 1)) % F.greatest(size, F.lit(1)))
+    return {"Output": rows.select(*map(quoted, df.columns), (number + 1).cast("int").alias("Tile_Num"), (within + 1).cast("int").alias("Tile_SequenceNum"))}

@@ -30,7 +30,8 @@ _LEAVES = {"Left": "left", "Right": "right"}
 
 @dataclass
 class Run:
-    """A compiled workflow. ``frames`` has the output of every anchor; nothing has been computed yet."""
+    """A compiled workflow. ``frames`` has the output of every anchor, not computed yet. (A few tools, whose columns depend
+    on the data, have looked at it: see ``operators.reshape``, Cleanse and Pipe_to_Table.)"""
 
     workflow: Workflow
     graph: Graph
@@ -144,7 +145,7 @@ def _inputs(graph: Graph, i: int, frames: dict, void: set[Connection]) -> dict[s
 
 def _compile(tool: Tool, inputs: dict, ctx: Context, how, registry, macro_dirs, fallback, bound, depth, run: Run) -> dict[str, DataFrame]:
     if tool.plugin in HANDLERS or tool.kind in HANDLERS:
-        return HANDLERS.get(tool.plugin) and HANDLERS[tool.plugin](inputs, tool.config, ctx) or HANDLERS[tool.kind](inputs, tool.config, ctx)
+        return HANDLERS[tool.plugin if tool.plugin in HANDLERS else tool.kind](inputs, tool.config, ctx)
     if tool.kind in ("db_file_input", "odbc_input"):
         return {"Output": db_input(tool.config, ctx, [f.name for f in tool.fields])}
     if tool.kind == "text_input":

@@ -84,6 +84,22 @@ def read_file(ctx: Context, path: str, config: dict) -> DataFrame:
     return reader.format(kind).load(path)
 
 
+def read_jdbc(ctx: Context, url: str, query: str, config: dict) -> DataFrame:
+    """A query or table over JDBC, by a driver on Spark's class path. What Spark can push down runs in the database.
+
+    ``ctx.options["jdbc"]`` has further options (user, password, fetchsize and so on), by url or for all. Settings
+    PartitionColumn, LowerBound, UpperBound and NumPartitions deal a read over tasks.
+    """
+    told = ctx.options.get("jdbc", {})
+    reader = ctx.spark.read.format("jdbc").option("url", url).options(**told.get(url, {k: v for k, v in told.items() if not isinstance(v, dict)}))
+    parts = {k: value_of(config.get(k)) for k in ("PartitionColumn", "LowerBound", "UpperBound", "NumPartitions")}
+    if re.match(r"\s*(select|with)\b", query, re.I):
+        if all(parts.values()):
+            return reader.options(dbtable=f"({query}) t", **{k[0].lower() + k[1:]: v for k, v in parts.items()}).load()
+        return reader.option("query", query).load()
+    return reader.options(dbtable=query, **({k[0].lower() + k[1:]: v for k, v in parts.items()} if all(parts.values()) else {})).load()
+
+
 def db_input(config: dict, ctx: Context, declared: list[str] | None = None) -> DataFrame:
     """A query or table over the session's catalog and ``ctx.sources``, or a file."""
     text = connection_of(config)
@@ -95,7 +111,9 @@ def db_input(config: dict, ctx: Context, declared: list[str] | None = None) -> D
             found = ctx.sources.get(name) if name else None
             if isinstance(found, DataFrame):
                 return _ordered(found, config, ctx)
-        if query:
+        if query and "jdbc:" in where:
+            out = read_jdbc(ctx, where[where.index("jdbc:") :].strip(), query, config)
+        elif query:
             if re.match(r"\s*(select|with)\b", query, re.I):
                 out = ctx.spark.sql(qualify(query, database, ctx.sources))
             else:
