@@ -149,6 +149,26 @@ def starts(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bits of the table by which ``marked`` tells which rows may be wanted.
+WANTED = 1 << 23
+
+
+def marked(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a flag ``name``: whether ``column`` may be in ``wanted``'s only column. It holds for all that are, and
+    for some that are not, more of them as the table of fixed size fills up."""
+    at = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(WANTED))
+    bits = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_bits"))
+    own = F.pmod(F.xxhash64(column), F.lit(WANTED))
+    placed = rows.withColumns({"_of": F.shiftright(own, 6), "_bit": (own % 64).cast("int")})
+    near = placed.join(F.broadcast(bits), F.col("_of") == F.col("_slot"), "left")  # WANTED / 64 rows at most
+    return near.select(*rows.columns, F.expr("coalesce(shiftrightunsigned(_bits, _bit) & 1L, 0L) = 1").alias(name))
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in ``wanted``'s only column: those that are, and some that are not."""
+    return marked(rows, column, wanted, "_near").where("_near").drop("_near")
+
+
 def dealt(place: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, rows) of each part that has rows. ``place``: the part of each row, below ``n``; rows keep their order."""
     order = np.argsort(place.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")

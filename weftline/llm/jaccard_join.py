@@ -17,9 +17,9 @@ aggregation, never in pairs), and what is returned are the components of classes
    largest component never meet each other, only the rest, so that a group of near copies costs its stragglers times
    its size and not its square. Each side is dealt into parts of ``TILE`` holders.
 
-Within stars and tiles, bit counts of the signatures bound the overlap from above (each bit that only one set has is
-an element that the other lacks) before a pair is emitted; pairs that may reach the threshold are verified by
-intersecting sorted arrays. The components come from large-star and small-star steps, each an aggregation and a join.
+Bit counts of the signatures bound the overlap from above (each bit that only one set has is an element that the other
+lacks): tiles emit the pairs only that may reach the threshold by signatures folded to ``BITS`` bits, and of all pairs
+those that may by their full signatures are verified by intersecting sorted arrays. The components come from large-star and small-star steps, each an aggregation and a join.
 
 Elements are 64-bit hashes, classes 128-bit digests. Counts of elements are shuffled as packed arrays, one row for
 each task and range of hashes. Texts are stored once beside the hashes, and are joined to candidate pairs only; a bit
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import coded, cut, dealt, gathered, lean, mixed, numbers, partitions, slices, split_words, starts
+from weftline.llm.common import among, coded, cut, dealt, gathered, lean, mixed, numbers, partitions, slices, split_words, starts
 
 SHINGLE, SIMILAR = 5, 80
 KEYS, BITS, TILE = 6, 1024, 512
@@ -53,9 +53,7 @@ SMALL, CONTRACTED = 1 << 16, 1 << 20
 #: Cells of a byte for elements found LEAST times or more, and of a bit for those found twice or more: so many for each
 #: row, between these bounds.
 CELLS, LEAST = 1 << 23, 4
-BIT_CELLS, LEAST_BITS, MOST_BITS = 512, 1 << 22, 1 << 30
-#: Of the tables that tell which elements or rows may be wanted.
-WANTED = 1 << 23
+BIT_CELLS, LEAST_BITS, MOST_BITS = 512, CELLS, 1 << 30
 #: Elements that a task gathers before it deals them out.
 HELD = 1 << 21
 #: Pairs of signatures compared at once.
@@ -102,6 +100,11 @@ def signature(elements: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """A signature of BITS bits, each of which stands for several."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, BITS >> 6), axis=0).tobytes()
+
+
 def alike(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, signatures of a, of b) for rows of equal sizes; the larger signature is folded onto the smaller."""
     sizes = np.stack([np.asarray(pc.binary_length(x), dtype=np.int64) for x in (a, b)], axis=1)
@@ -142,11 +145,11 @@ def frequencies(docs: DataFrame) -> Frequencies:
     """
     ranges = partitions(docs.sparkSession)
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BIT_CELLS * docs.count() - 1).bit_length()))
-    first_of = lambda k, cells: -(-k * cells // ranges)
+    first_of = lambda k: -(-k * (CELLS >> 3) // ranges) << 3  # noqa: E731  a range has whole bytes of the table of bits
 
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
         low, n = np.unique(np.concatenate(held), return_counts=True)
-        parts = list(dealt((low.astype(np.int64) % CELLS) * ranges // CELLS, ranges))
+        parts = list(dealt((low.astype(np.int64) % CELLS >> 3) * ranges // (CELLS >> 3), ranges))
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in parts], pa.int32()), pa.array([low[rows].tobytes() for _, rows in parts], pa.binary()), pa.array([n[rows].astype(np.uint32).tobytes() for _, rows in parts], pa.binary())],
             ["range", "e", "n"],
@@ -172,23 +175,28 @@ def frequencies(docs: DataFrame) -> Frequencies:
             low, heads = np.unique(low[order], return_index=True)
             n = np.add.reduceat(n[order], heads)
             often = n >= LEAST
-            cells = np.zeros(first_of(k + 1, CELLS) - first_of(k, CELLS), np.uint8)
-            np.maximum.at(cells, low[often].astype(np.int64) % CELLS - first_of(k, CELLS), np.log2(n[often]).astype(np.uint8))
-            # the same range of elements, in the table of bits: all those with these cells
-            twice = np.unique((low[n > 1] % np.uint32(bits) if bits < 1 << 32 else low[n > 1]).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([first_of(k, CELLS)], pa.int64()), pa.array([cells.tobytes()], pa.binary()), pa.array([zstandard.compress(np.diff(twice, prepend=np.uint32(0)).tobytes())], pa.binary())], ["first", "cells", "twice"])
+            first, width = first_of(k), first_of(k + 1) - first_of(k)
+            cells = np.zeros(width, np.uint8)
+            np.maximum.at(cells, low[often].astype(np.int64) % CELLS - first, np.log2(n[often]).astype(np.uint8))
+            # all bits whose cells are of this range
+            at = low[n > 1].astype(np.int64) % bits
+            twice = np.zeros((bits // CELLS, width), bool)
+            twice[at // CELLS, at % CELLS - first] = True
+            blob = zstandard.compress(cells.tobytes() + np.packbits(twice, axis=1, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([width], pa.int64()), pa.array([blob], pa.binary())], ["first", "width", "tables"])
 
     counted = docs.select("text").mapInArrow(lean(count), "range int, e binary, n binary").repartitionById(ranges, "range")
     out = Frequencies(bits)
-    for first, cells, twice in counted.mapInArrow(lean(level), "first long, cells binary, twice binary").toLocalIterator():  # the tables' cells
-        out.levels[first : first + len(cells)] = np.frombuffer(cells, np.uint8)
-        at = np.cumsum(np.frombuffer(zstandard.decompress(twice), "u4"), dtype=np.int64)
-        np.bitwise_or.at(out.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    table = out.bits.reshape(bits // CELLS, CELLS >> 3)
+    for first, width, blob in counted.mapInArrow(lean(level), "first long, width long, tables binary").toLocalIterator():  # the tables' cells
+        raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+        out.levels[first : first + width] = raw[:width]
+        table[:, first >> 3 : (first + width) >> 3] = raw[width:].reshape(bits // CELLS, width >> 3)
     return out
 
 
 def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """row, doc_id, n, d1, d2 (digest), keys, prefix, bits and text of every row, cut; with ``carry``, its further columns too."""
+    """row, doc_id, n, d1, d2 (digest), keys, prefix, bits, mark (bits, folded) and text of every row, cut; with ``carry``, its further columns too."""
     levels = docs.sparkSession.sparkContext.broadcast(frequencies(docs))  # CELLS bytes and MOST_BITS bits at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -223,15 +231,16 @@ def prepare(docs: DataFrame, carry: bool = False) -> DataFrame:
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(prefix, pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()),
+                    pa.array(map(folded, bits), pa.binary()),
                     *batch.columns[1:],
                 ],
-                ["row", "doc_id", "n", "d1", "d2", "keys", "prefix", "bits", *batch.schema.names[1:]],
+                ["row", "doc_id", "n", "d1", "d2", "keys", "prefix", "bits", "mark", *batch.schema.names[1:]],
             )
             row += len(size)
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if carry and others else []))
-    schema = T.StructType(T._parse_datatype_string(f"row long, doc_id {kind}, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary").fields + rows.schema.fields[1:])
+    schema = T.StructType(T._parse_datatype_string(f"row long, doc_id {kind}, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary, mark binary").fields + rows.schema.fields[1:])
     return cut(rows.mapInArrow(lean(run), schema), "shingles")
 
 
@@ -280,16 +289,6 @@ def linked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.take(kept) for c in part.columns[:2]], ["a", "b"])
 
 
-def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``column`` may be in ``wanted``'s only column: those that are, and some that are not."""
-    at = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(WANTED))
-    bits = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_bits"))
-    own = F.pmod(F.xxhash64(column), F.lit(WANTED))
-    marked = rows.withColumns({"_of": F.shiftright(own, 6), "_bit": (own % 64).cast("int")})
-    near = marked.join(F.broadcast(bits), F.col("_of") == F.col("_slot"))  # WANTED / 64 rows at most
-    return near.where(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1")).select(*rows.columns)
-
-
 def stars(groups: DataFrame) -> DataFrame:
     """Pairs of two pivots of each group with each other member, as far as sizes allow a link; cut.
 
@@ -341,15 +340,14 @@ def open_elements(prefixes: DataFrame) -> DataFrame:
 
 
 def holders(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(e, node, comp, n, bits): all holders of the prefix elements that more than one component holds; cut.
+    """(e, node, comp, n, mark): all holders of the prefix elements that more than one component holds; cut.
 
-    ``prefixes``: node, comp, prefix; ``classes``: node, n, bits.
+    ``prefixes``: node, comp, prefix; ``classes``: node, n, mark.
     """
-    prefixes = cut(prefixes, "prefixes")
     wanted = open_elements(prefixes)
     held = among(prefixes.select("node", "comp", F.explode("prefix").alias("e")), "e", wanted)
     held = cut(held.join(wanted.withColumnRenamed("e", "oe"), F.col("e") == F.col("oe")).select("e", "node", "comp"), "held")
-    known = among(classes.select("node", "n", "bits"), "node", held.select("node")).withColumnRenamed("node", "v")
+    known = among(classes.select("node", "n", "mark"), "node", held.select("node")).withColumnRenamed("node", "v")
     return cut(held.join(known, F.col("node") == F.col("v")).drop("v"), "held")
 
 
@@ -375,7 +373,7 @@ def tiles(held: DataFrame, every: bool) -> DataFrame:
     rows = rows.withColumn("at", F.explode(F.when(F.col("inner"), of_most).otherwise(F.concat(with_most, with_rest))))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     key = ["e", "tile", "x", "y"]
-    rows = rows.select("e", "tile", "at.x", "at.y", "inner", (F.col("tile") == F.col("band")).alias("home"), "part", "node", "n", "comp", "bits")
+    rows = rows.select("e", "tile", "at.x", "at.y", "inner", (F.col("tile") == F.col("band")).alias("home"), "part", "node", "n", "comp", "mark")
     rows = rows.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,8 +437,8 @@ def pairs_in(table: pa.Table, heads: np.ndarray) -> np.ndarray:
     """
     y, inner, home = (np.asarray(table.column(k)) for k in (3, 4, 5))
     part, node, n, comp = (np.asarray(table.column(k)) for k in (6, 7, 8, 9))
-    bits = table.column(10).combine_chunks()
-    bits = bits if isinstance(bits, pa.Array) else pa.concat_arrays(bits.chunks)
+    marks = table.column(10).combine_chunks()
+    marks = marks if isinstance(marks, pa.Array) else pa.concat_arrays(marks.chunks)
     _, place = np.unique(node, return_index=True)
     found = [np.zeros((0, 2), np.int64)]
 
@@ -471,7 +469,7 @@ def pairs_in(table: pa.Table, heads: np.ndarray) -> np.ndarray:
     i, j = (place[np.searchsorted(nodes, pairs[:, k])] for k in (0, 1))
     for c in range(0, len(pairs), CHUNK):
         one, other = i[c : c + CHUNK], j[c : c + CHUNK]
-        for rows, s, t in alike(bits.take(pa.array(one)), bits.take(pa.array(other))):
+        for rows, s, t in alike(marks.take(pa.array(one)), marks.take(pa.array(other))):
             most[c + rows] = bound(s, n[one[rows]], t, n[other[rows]])
     good = most >= needed(n[i], n[j])
     i, j, most = i[good], j[good], most[good]
@@ -530,8 +528,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` with comp."""
-    found = components(links)
-    out = classes.drop("comp").join(found.withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").drop("v")
+    found = components(links).withColumnRenamed("node", "v")
+    found = F.broadcast(found) if 2 * links.count() <= CONTRACTED else found  # no more rows than ends of links
+    out = classes.drop("comp").join(found, F.col("node") == F.col("v"), "left").drop("v")
     return out.withColumn("comp", F.coalesce("comp", "node"))
 
 
@@ -554,7 +553,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def joined(rows: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, class_id, comp and component_id for every row of a prepared table."""
     some = rows.where("n > 0")
-    classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), *(F.min_by(c, "row").alias(c) for c in ("keys", "prefix", "bits"))), "classes")
+    classes = cut(some.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.min("n").alias("n"), *(F.min_by(c, "row").alias(c) for c in ("keys", "prefix", "mark"))), "classes")
     links = verify(stars(classes.select("node", "n", F.explode("keys").alias("key"))), rows)
     held = holders(classes, labelled(classes.select("node", "prefix"), links).select("node", "comp", "prefix"))
     for every in (False, True):
