@@ -6,17 +6,17 @@ document. Lines found in more than ``max_docs`` documents of a host are removed
 ask for a share of the host's documents besides). Documents that then keep less than ``keep_share`` of their words are
 depleted.
 
-``clean`` adds each kept text less its removed lines. It reads the texts again and joins what they lose by a hash of
-host and text, so that only this second pass shuffles texts, once, and no numbering of rows has to hold over two reads;
-equal texts of a host lose the same lines.
+``clean`` adds each kept text less its removed lines. Only texts that lose lines are shuffled, to meet the hashes of
+what they lose; a bit table of fixed size tells the others, which pass as they are.
 
 One pass over the texts yields the counts and, for each document, arrays of its distinct lines' hashes and of the
-words they hold; that table is cut. Counting is a partial aggregation by (host, line), so a line that a third of all
+words they hold; that table is cut, with the texts if they are wanted. Counting is a partial aggregation by (host, line), so a line that a third of all
 documents share costs each task one row. Only lines above the limits are joined back, and what they take from a
 document is summed by document number.
 
 Defined results: a null text is empty: no words, no lines, ``base_failed``. Null hosts form one host. Lines without a
-word don't count. Each row is a document of its own, repeated ids included. Empty tables give empty results.
+word don't count. Very long texts are counted and cleaned whole. A line in exactly as many documents as a limit stays.
+Each row is a document of its own, repeated ids included. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import coded, cut, slices, split_words, starts
+from weftline.llm.common import coded, cut, marked, slices, split_words, starts
 
 MAX_DOCS, MAX_ALL, KEEP_SHARE = 6, 12, 0.5
 MIN_WORDS = 50
 _SYMBOLS = r"[#*$%&|<>]"
-_SCHEMA = "row long, key long, doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_SCHEMA = "row long, doc_id {id}, host {host}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def repeated_words(code: np.ndarray, n: np.ndarray, distinct: int) -> np.ndarray:
@@ -86,12 +86,8 @@ def line_counts(text: str | None) -> tuple[int, list[int], list[int]]:
     return repeats, list(seen), list(seen.values())
 
 
-def texts_of(docs: DataFrame, host: str) -> DataFrame:
-    return docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64(host, "text").alias("key"))
-
-
-def counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Base counts and lines of every row, numbered by ``row``."""
+def counts(docs: DataFrame, host: str = "source", with_text: bool = False) -> DataFrame:
+    """Base counts and lines of every row, numbered by ``row``; with the text if wanted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -109,7 +105,6 @@ def counts(docs: DataFrame, host: str = "source") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + len(n))),
-                    batch.column(3),
                     batch.column(0),
                     batch.column(1),
                     pa.array(n.astype(np.int64)),
@@ -119,14 +114,15 @@ def counts(docs: DataFrame, host: str = "source") -> DataFrame:
                     pa.array(repeated_words(code, n, len(distinct))),
                     pa.array([x[1] for x in lines], pa.list_(pa.int64())),
                     pa.array([x[2] for x in lines], pa.list_(pa.int32())),
+                    *([texts] if with_text else []),
                 ],
-                ["row", "key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+                ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", *(["text"] if with_text else [])],
             )
             row += len(n)
 
-    rows = texts_of(docs, host)
+    rows = docs.select("doc_id", F.col(host).alias("host"), "text")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return cut(rows.mapInArrow(count, _SCHEMA.format(id=kind["doc_id"], host=kind["host"])), "lines")
+    return cut(rows.mapInArrow(count, _SCHEMA.format(id=kind["doc_id"], host=kind["host"]) + ", text string" * with_text), "lines")
 
 
 def frequent(rows: DataFrame, max_docs: int, max_all: int, max_share: float) -> DataFrame:
@@ -143,42 +139,49 @@ def frequent(rows: DataFrame, max_docs: int, max_all: int, max_share: float) ->
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, keep_share: float = KEEP_SHARE, max_all: int = MAX_ALL) -> DataFrame:
     """Base counts with base_failed, words_removed (those of lines above the limits) and kept, for every row."""
-    return judged(docs, host, max_docs, max_share, keep_share, max_all).drop("key", "removed")
+    rows = counts(docs, host)
+    lost = losses(rows, max_docs, max_all, max_share).drop("removed")
+    return verdict(rows.join(lost, F.col("row") == F.col("r"), "left"), keep_share).drop("row", "r", "lines", "line_words")
 
 
-def judged(docs: DataFrame, host: str, max_docs: int, max_share: float, keep_share: float, max_all: int) -> DataFrame:
-    """What ``judge`` gives, with the key of host and text and the hashes of the lines that the row loses."""
-    rows = counts(docs, host)
+def losses(rows: DataFrame, max_docs: int, max_all: int, max_share: float) -> DataFrame:
+    """(r, words_removed, removed): what rows lose, by their numbers, those that lose something; and the hashes of the lines."""
     often = frequent(rows, max_docs, max_all, max_share).select(F.col("host").alias("h"), F.col("line").alias("often"))
     lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     lost = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often")))
-    lost = lost.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed"))
-    out = rows.drop("lines", "line_words").join(lost, F.col("row") == F.col("r"), "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)))
+    return lost.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed"))
+
+
+def verdict(rows: DataFrame, keep_share: float) -> DataFrame:
+    """``rows``, with words_removed null where nothing is, with base_failed and kept."""
+    rows = rows.withColumn("words_removed", F.coalesce("words_removed", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("words_removed") < keep_share * F.col("n_words")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "r")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, keep_share: float = KEEP_SHARE, max_all: int = MAX_ALL) -> DataFrame:
     """What ``judge`` gives for every row, and ``text``: a kept row's text less its removed lines, null for other rows."""
-    found = judged(docs, host, max_docs, max_share, keep_share, max_all)
-    names = [c for c in found.columns if c not in ("key", "doc_id", "host")]
-    of_key = found.groupBy(F.col("key").alias("k")).agg(F.first(F.struct(*names)).alias("f"))  # all rows of a key are alike
-    rows = texts_of(docs, host).join(of_key, F.col("key") == F.col("k"), "left").select("doc_id", "host", "f.*", F.when(F.col("f.kept"), F.col("text")).alias("text"))
+    rows = counts(docs, host, with_text=True)
+    lost = cut(losses(rows, max_docs, max_all, max_share), "lost")
+    texts = marked(rows.drop("lines", "line_words"), "row", lost.select("r"), "losing")
+    losing = texts.where("losing").join(lost, F.col("row") == F.col("r"), "left").drop("r")
+    whole = texts.where("not losing").withColumns({"words_removed": F.lit(None).cast("long"), "removed": F.lit(None).cast("array<long>")})
+    found = [verdict(x.drop("row", "losing"), keep_share) for x in (losing, whole)]
+    names = [c for c in found[0].columns if c not in ("text", "removed")]
+    some = found[0].select(*names, "removed", F.when(F.col("kept"), F.col("text")).alias("text"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch]):
-                at = part.schema.get_field_index("removed")
-                text, removed = part.column(part.num_columns - 1), part.column(at)
-                losing = np.asarray(pc.and_(pc.fill_null(pc.greater(pc.list_value_length(removed), 0), False), text.is_valid()))
-                if losing.any():
-                    left = [without(t, set(r)) for t, r in zip(text.filter(losing).to_pylist(), removed.filter(losing).to_pylist(), strict=True)]
-                    text = pc.replace_with_mask(text, pa.array(losing), pa.array(left, text.type))
-                columns = [*part.columns[:at], *part.columns[at + 1 : -1], text]
-                yield pa.RecordBatch.from_arrays(columns, [*(c for c in part.schema.names[:-1] if c != "removed"), "text"])
-
-    return rows.mapInArrow(rewrite, rows.drop("removed").schema)
+        for part in slices(batches):
+            removed, text = part.column(len(names)), part.column(len(names) + 1)
+            cutting = np.asarray(pc.and_(pc.fill_null(pc.greater(pc.list_value_length(removed), 0), False), text.is_valid()))
+            if cutting.any():
+                left = [without(t, set(r)) for t, r in zip(text.filter(cutting).to_pylist(), removed.filter(cutting).to_pylist(), strict=True)]
+                text = pc.replace_with_mask(text, pa.array(cutting), pa.array(left, text.type))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], text], [*names, "text"])
+
+    out = some.mapInArrow(rewrite, some.drop("removed").schema)
+    return out.unionByName(found[1].select(*names, F.when(F.col("kept"), F.col("text")).alias("text")))
 
 
 def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = 0.0, max_all: int = MAX_ALL) -> DataFrame:
