@@ -15,9 +15,11 @@ them. Shards are ranges of ids, so (shard, seq) is the order of the corpus, and
 stands before it: a window over shards, one over the segments of a shard, one sum within the segment.
 
 Tokenising works on distinct words: the tokenizer's rules never join across white space, so the distinct words of a
-batch are encoded once and their ids copied to every place. Words and their pieces stay in bounded caches.
+batch are encoded once and their ids copied to every place. Pieces of words stay in a bounded cache.
 
-Defined results: a null text is empty and has the end id alone. Repeated ids all keep their rows, side by side, as
+Lengths of documents stand beside a segment's payload, in the columns of its row.
+
+Defined results: a null text is empty and has the end id alone. Very long texts make segments of their own. Repeated ids all keep their rows, side by side, as
 range partitioning goes by (id, place in the input); null ids come first. Ids above 65,535 are not supported. A
 payload that does not match its checksums raises. Empty tables give empty ones. Other columns are ignored.
 """
@@ -41,7 +43,7 @@ from weftline.llm.common import coded, cut, drop, lean, partitions, slices, spli
 END = 1
 BLOCK, LANES, SCALE = 32768, 32, 20
 SEGMENT = 1 << 20
-CACHE_PIECES, CACHE_WORDS = 150_000, 500_000
+CACHE_PIECES = 300_000
 _HEADER, _POINT = struct.Struct("<4sBBHIIQI"), struct.Struct("<QII")
 _LOW = np.uint64(1 << 31)
 
@@ -176,16 +178,17 @@ def _decode_blocks(data: list[bytes], n: int, table: Table) -> np.ndarray:
 
 
 #: Words whose normal form and cut are plain: ASCII, and letters of Latin-1.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own cut, on lower-cased plain words.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+#: The tokenizer's own cut, on lower-cased plain words, and a character that plain words lack.
+_PIECE, _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+", "\x1f"
 
 
 class WordCoder:
     """Token ids of words. Distinct words are cut into the tokenizer's pieces, and distinct pieces are coded by its model.
 
     That is for tokenizers that lower-case and cut as ``_PIECE`` does, for which some words are tried at the start; other
-    tokenizers, and words that are not plain, go through the whole tokenizer.
+    tokenizers, and words that are not plain, go through the whole tokenizer. The most pieces that are kept from batch to
+    batch is CACHE_PIECES; the others are coded again.
     """
 
     def __init__(self, path: str):
@@ -193,12 +196,13 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint16)
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(special) or "^$"
+        self.pieces, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint16)
         self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         tried = ["It's", "DON'T", "they're,", "ab12c.", "ÉtÉß!", "x-y_z", "!''ll", "<a>", "1.5%", "we've'd", "no.", "øl"]
-        self.by_piece = all(self.plain(w) == tuple(self.whole([w])[0]) for w in tried)
+        ids, at, n = self.plain(pa.array(tried))
+        self.by_piece = [ids[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [list(x) for x in self.whole(tried)]
 
     def whole(self, words: list[str]) -> list[list[int]]:
         out = []
@@ -206,46 +210,60 @@ class WordCoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
         return out
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> list[int]:
         mapped = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
-        ids = tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
-        if len(self.known) < CACHE_PIECES:
-            self.known[piece] = ids
-        return ids
-
-    def plain(self, word: str) -> tuple[int, ...]:
-        known, low = self.known, word.lower()
-        pieces = [low] if low.isalpha() else _PIECE.findall(low)
-        return tuple(chain.from_iterable(known.get(p) or self.piece(p) for p in pieces))
-
-    def new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words, in turn, and how many each has."""
-        out: list = [None] * len(words)
-        odd = []
-        for i, w in enumerate(words):
-            if self.by_piece and _PLAIN.fullmatch(w) and not ("<" in w and any(x in w for x in self.special)):
-                out[i] = self.plain(w)
-            else:
-                odd.append(i)
-        for i, ids in zip(odd, self.whole([words[i] for i in odd]), strict=True):
-            out[i] = ids
-        return np.fromiter(chain.from_iterable(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out))
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
-    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and for each of the distinct words where its ids begin in it and how many they are."""
-        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1), dtype=np.int64)
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each of the distinct pieces where its ids begin in it and how many they are."""
+        place = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1), dtype=np.int64)
         unknown = place < 0
-        fresh = words.filter(pa.array(unknown))
-        pool, length = self.new(fresh.to_pylist())
+        fresh = pieces.filter(pa.array(unknown))
+        ids = [self.piece(x) for x in fresh.to_pylist()]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
         at = starts(length)[:-1] + len(self.pool)
-        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint16)])
+        begin, n = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         begin[unknown], n[unknown] = at, length
         begin[~unknown], n[~unknown] = self.at[place[~unknown]], self.length[place[~unknown]]
-        whole = np.concatenate([self.pool, pool])
-        if len(self.words) + len(fresh) <= CACHE_WORDS:
-            self.words, self.pool = pa.concat_arrays([self.words, fresh]), whole
-            self.at, self.length = np.concatenate([self.at, at]), np.concatenate([self.length, length])
-        return whole, begin, n
+        room = max(0, CACHE_PIECES - len(self.pieces))
+        if room and len(fresh):
+            kept = int(length[:room].sum())
+            self.pieces, self.pool = pa.concat_arrays([self.pieces, fresh.slice(0, room)]), pool[: len(self.pool) + kept]
+            self.at, self.length = np.concatenate([self.at, at[:room]]), np.concatenate([self.length, length[:room]])
+        return pool, begin, n
+
+    def plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the plain words, in turn, and for each where they begin and how many they are."""
+        parts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words), _PIECE, r"\0" + _CUT), _CUT)
+        flat = parts.flatten()
+        word = np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(parts), dtype=np.int64))
+        full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+        word = word[full]
+        code, distinct = coded(flat.filter(pa.array(full)))
+        pool, begin, n = self.of_pieces(distinct)
+        ids = gather(pool, begin[code], n[code])
+        length = np.bincount(word, weights=n[code], minlength=len(words)).astype(np.int64)
+        return ids, starts(length)[:-1], length
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each of the distinct words where its ids begin in it and how many they are."""
+        is_plain = np.zeros(len(words), bool)
+        if self.by_piece:
+            is_plain = np.asarray(pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring_regex(words, self.special))))
+        ids, at, length = self.plain(words.filter(pa.array(is_plain)))
+        odd = self.whole(words.filter(pa.array(~is_plain)).to_pylist())
+        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[is_plain], n[is_plain] = at, length
+        n[~is_plain] = np.fromiter(map(len, odd), np.int64, len(odd))
+        begin[~is_plain] = starts(n[~is_plain])[:-1] + len(ids)
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(odd), np.uint16)]), begin, n
+
+
+def gather(pool: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin there and are so long, one after another."""
+    first = starts(n)
+    return pool[np.arange(int(first[-1])) + np.repeat(begin - first[:-1], n)]
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -264,13 +282,12 @@ def tokenise(texts: pa.Array, coder: WordCoder) -> tuple[np.ndarray, np.ndarray]
     code, distinct = coded(words)
     pool, at, length = coder.encode(distinct)
     each = length[code]
-    first = starts(each)
     text = np.repeat(np.arange(len(n)), n)
-    ids = np.zeros(int(first[-1]) + len(n), np.uint16)
-    every = np.arange(int(first[-1]))
-    ids[every + np.repeat(text, each)] = pool[every + np.repeat(at[code] - first[:-1], each)]
     tokens = np.bincount(text, weights=each, minlength=len(n)).astype(np.int64) + 1
-    ids[np.cumsum(tokens) - 1] = END
+    ids = np.full(int(tokens.sum()), END, np.uint16)
+    said = np.ones(len(ids), bool)
+    said[np.cumsum(tokens) - 1] = False
+    ids[said] = gather(pool, at[code], each)
     return ids, tokens
 
 
