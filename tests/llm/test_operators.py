@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,38 @@ def test_unlearned_scripts_are_rejected(spark, docs):
     assert language_id.with_language(table, prototypes).count() == table.count()
 
 
+def test_language_against_brute_force(docs):
+    """Profiles built gram by gram, prototypes and cosines from their definitions."""
+    letters, dim = language_id.Letters(256), 256
+    low = lambda c: ord(c.lower()[0]) if c.isalpha() else 0
+
+    def profile(text):
+        padded, out = f" {text or ''} ", np.zeros(dim)
+        for i in range(1, len(padded) - 1):
+            if padded[i].isalpha():
+                a, b, c = (letters._vector(low(x)).astype(float) for x in padded[i - 1 : i + 2])
+                out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    rng = random.Random(12)
+    words = {"aa": ["the", "and", "Über", "of"], "bb": ["el", "niño", "que", "la"], "cc": ["日本", "語", "x1y", "を"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(1, 9))), k if i % 4 else None) for i, k in enumerate(list(words) * 8)]
+    rows += [(100, "12 34", "aa"), (101, None, "aa"), (102, "que the 語", "bb"), (102, "que the 語", "bb")]
+    df = docs(rows, extra=True)
+    got = sorted(map(tuple, language_id.identify(df, language_id.learn(df, F.lit(True), dim)).collect()))
+    sums = {k: sum(profile(t) for _, t, lang in rows if lang == k) for k in sorted(words)}
+    p = np.stack([v / np.linalg.norm(v) for v in sums.values()])
+    p -= p.mean(axis=0)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    want = []
+    for i, t, _ in rows:
+        v = profile(t)
+        cos = p @ v / (np.linalg.norm(v) or 1)
+        want.append((i, sorted(words)[int(cos.argmax())], max(0.0, float(cos.max()))) if v.any() else (i, "und", 0.0))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=1e-5)
+
+
 def test_bundles_in_pieces(monkeypatch):
     letters, rng = language_id.Letters(64), random.Random(6)
     texts = ["".join(rng.choice("abcdef -") for _ in range(50)) for _ in range(9)]
@@ -179,6 +212,32 @@ def test_line_quality_base(spark):
         assert got[i] == base_counts(text)
 
 
+@needs_data
+def test_line_quality_verdicts_against_brute_force(spark, monkeypatch):
+    """The query's rows, and lower limits, under which many lines go."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
+    lines = {i: [(b" ".join(x.split()).lower(), x) for x in (t or "").encode().split(b"\n")] for i, t, _ in rows}
+    in_host, in_all = Counter(), Counter()
+    for i, _, host in rows:
+        for x in {x for x, _ in lines[i] if x}:
+            in_host[host, x] += 1
+            in_all[x] += 1
+
+    def check(got, most, most_all):
+        removed = 0
+        for i, t, host in rows:
+            gone = {x for x, _ in lines[i] if x and (in_host[host, x] > most or in_all[x] > most_all)}
+            left = b"\n".join(raw for x, raw in lines[i] if x not in gone).decode()
+            kept = not base_counts(t)[5] and len(WORD.findall(left)) >= line_quality.KEEP_SHARE * base_counts(t)[0]
+            assert (got[i].kept, got[i].text) == (kept, left if kept else None)
+            removed += bool(gone)
+        return removed
+
+    check({r.doc_id: r for r in QUERIES["op3_line_quality"](spark, str(DATA)).collect()}, line_quality.MAX_DOCS, line_quality.MAX_ALL)
+    low = {r.doc_id: r for r in line_quality.clean(spark.read.parquet(f"{DATA}/documents.parquet"), max_docs=1, max_all=2).collect()}
+    assert check(low, 1, 2) > 10
+
+
 def test_line_quality_limits(docs):
     def text(i, shared):
         own = [" ".join(f"w{i}x{k}y{j}" for j in range(30)) for k in range(3)]
@@ -481,6 +540,18 @@ def test_jaccard_tiles_alone(docs, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_frequencies(docs):
+    """No element is taken for rarer than it is."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(12))) for i in range(60)] + [(100 + i, " ".join(f"own{i}x{k}" for k in range(9))) for i in range(20)]
+    found = jaccard_join.frequencies(docs(rows).repartition(3))
+    count = Counter()
+    for _, t in rows:
+        count.update(jaccard_join.shingle_sets(pa.array([t]))[0].tolist())
+    levels = dict(zip(count, found.of(np.array(list(count), np.uint64)).tolist(), strict=True))
+    assert all(levels[e] >= (int(math.log2(n)) if n >= jaccard_join.LEAST else int(n > 1)) for e, n in count.items())
+    assert sum(levels[e] == (int(math.log2(n)) if n >= jaccard_join.LEAST else int(n > 1)) for e, n in count.items()) > 0.95 * len(count)
+
+
 def test_components_over_many_partitions(spark, monkeypatch):
     rng = random.Random(8)
     links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1600)] + [(5000 + i, 5001 + i) for i in range(200)]

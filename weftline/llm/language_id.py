@@ -13,8 +13,9 @@ product for each language of a batch. Each task sends one vector for each langua
 languages x dimensions numbers, however many the documents are.
 
 Defined results: a null text, an empty one and one without letters give ``und`` with score 0. Equal cosines: the
-language first in code point order. Null labels teach nothing. With no usable label every text is ``und``. Columns
-other than the named ones are ignored; repeated rows are judged each by itself.
+language first in code point order. Null labels teach nothing. With no usable label every text is ``und``. Very long
+texts are profiled whole, in pieces of the code book. Columns other than the named ones are ignored; repeated rows are
+judged each by itself. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ The loss mask is a list of spans (start, end; code points) over the texts of ass
 
 Defined results: null roles and texts are empty. A null tree id is a tree of its own. A parent that does not exist
 makes its child a root. Messages on a cycle, or below one, reach no root and are left out. Messages of equal turn are
-ordered by role, then text (``linear``); equal node ids within a tree are not allowed otherwise. No messages, no rows.
-Other columns are ignored.
+ordered by role, then text (``linear``), so repeated rows are turns of their own; equal node ids within a tree are not
+allowed otherwise. Very long texts are formatted whole. No messages, no rows. Other columns are ignored. A conversation
+is one row of the result, so its turns come together in one task, whatever their number.
 """
 
 from __future__ import annotations
