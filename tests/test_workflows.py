@@ -151,6 +151,24 @@ def test_output_and_cli(spark, tmp_path, capsys):
     assert main([str(tmp_path / "none.yxmd")]) == 2
 
 
+def test_hooks(spark, tmp_path, monkeypatch, capsys):
+    """An expression that can't be compiled, a tool that nothing knows and the report's text, from a module of the user."""
+    asked = []
+    ctx = Context(spark, {"HOME": "/h"}, rewrite=lambda said, schema: asked.append((said, schema.names)) or "x * 2")
+    df = spark.sql("select 3 x")
+    out = TOOLS["formula"]({"Input": df}, Q.fields(("y", "Mystery([x])"), ("z", "GetEnvironmentVariable('HOME')")), ctx)["Output"].first()
+    assert (out.y, out.z) == (6, "/h")
+    assert asked == [("Mystery([x])", ["x"])]
+    with pytest.raises(ValueError, match="(?i)mystery"):
+        TOOLS["formula"]({"Input": df}, Q.fields(("y", "Mystery([x])")), Context(spark))
+    (tmp_path / "own_hooks.py").write_text("def fallback(tool, inputs, ctx):\n    return {'Output': inputs['Input'].limit(0)}\n\ndef narrate(run):\n    return 'told by a hook'\n")
+    monkeypatch.syspath_prepend(tmp_path)
+    (tmp_path / "b.yxmd").write_text(Q.document([Q.node(1, "TextInput", '<Fields><Field name="x" /></Fields><Data><r><c>1</c></r></Data>'), Q.node(2, "Odd", "")], [Q.edge("1:Output", "2:Input")]))
+    assert main([str(tmp_path / "b.yxmd"), "--output-dir", str(tmp_path / "out"), "--no-registry", "--hooks", "own_hooks"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out/b/tool_2")).count() == 0
+    assert "told by a hook" in (tmp_path / "out/b_docs.md").read_text()
+
+
 def test_jdbc(spark, ctx):
     """Over the database that comes with Spark, kept in memory."""
     url = "jdbc:derby:memory:weftline;create=true"

@@ -27,7 +27,8 @@ class UnsupportedFunction(ExpressionError):
 
 @dataclass
 class Scope:
-    """What an expression can see. ``row`` resolves [Row-1:x] references."""
+    """What an expression can see. ``row`` resolves [Row-1:x] references; ``rewrite`` is asked for Spark SQL where an
+    expression can't be compiled."""
 
     schema: T.StructType
     variables: dict = field(default_factory=dict)
@@ -37,6 +38,7 @@ class Scope:
     zero_based: bool = False
     swap_diff: bool = False
     first_letter_only: bool = False
+    rewrite: Callable[[str, T.StructType], str | None] | None = None
 
 
 def kind_of(t: T.DataType) -> str:
@@ -211,7 +213,13 @@ def register_function(name: str, fn: Callable[..., Column], kind: str = "any") -
 
 
 def compile_expression(source: str, scope: Scope) -> Typed:
-    return Compiler(scope).compile(parse(source))
+    try:
+        return Compiler(scope).compile(parse(source))
+    except ExpressionError:
+        sql = scope.rewrite(source, scope.schema) if scope.rewrite else None
+        if not sql:
+            raise
+        return F.expr(sql), "any"
 
 
 def _literal(node: Node):
@@ -566,6 +574,13 @@ def _regex_count(c, x, pattern, ignore=None):
     return F.regexp_count(text(c.compile(x)), F.lit(java_pattern(str(_literal(pattern)), _flag(ignore)))), "num"
 
 
+@function("GETENVIRONMENTVARIABLE", args=(1, 1))
+def _environment(c, x):
+    """What the run's variables hold under that name: a cluster's environments are not the workflow's."""
+    value = c.scope.variables.get(str(_literal(x)))
+    return F.lit(None if value is None else str(value)), "str"
+
+
 @function("ERROR", args=(1, 1))
 def _error(c, x):
     return F.raise_error(text(c.compile(x))), "null"

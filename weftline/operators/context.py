@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ class ToolError(ValueError):
 
 @dataclass
 class Context:
-    """``options``: null_to_false, count_all, case_sensitive, zero_based, swap_diff, first_letter_only, seed, compat_union."""
+    """``rewrite(expression, schema)`` may give Spark SQL for an expression that can't be compiled.
+    ``options``: null_to_false, count_all, case_sensitive, zero_based, swap_diff, first_letter_only, seed, compat_union."""
 
     spark: SparkSession
     variables: dict = field(default_factory=dict)
@@ -27,6 +29,7 @@ class Context:
     write_outputs: bool = False
     options: dict = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    rewrite: Callable | None = None
     _orders: dict[int, tuple[DataFrame, list[tuple[str, bool]]]] = field(default_factory=dict)
 
     def warn(self, said: str) -> None:
@@ -34,7 +37,7 @@ class Context:
 
     def scope(self, df: DataFrame, **more) -> Scope:
         names = ("case_sensitive", "zero_based", "swap_diff", "first_letter_only")
-        return Scope(df.schema, self.variables, **{k: self.options[k] for k in names if k in self.options}, **more)
+        return Scope(df.schema, self.variables, rewrite=self.rewrite, **{k: self.options[k] for k in names if k in self.options}, **more)
 
     def ordered(self, df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
         """Note that the rows of ``df`` stand in the order of ``keys`` (name, ascending)."""

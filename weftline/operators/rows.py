@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import compile_expression, parse
 from weftline.functions.compiler import Compiler, find, kind_of, quoted
-from weftline.functions.parser import walk
+from weftline.functions.parser import ExpressionError, walk
 from weftline.operators.context import Context, ToolError, cast, listed, numbered, sorting, truth, type_of, value_of
 
 Frames = dict[str, DataFrame]
@@ -112,7 +112,10 @@ def filter_rows(inputs: Frames, config: dict, ctx: Context) -> Frames:
         expression = value_of(config.get("Expression"))
         if not expression:
             raise ToolError("filter: no expression")
-        test = Compiler(ctx.scope(df)).compile(("un", "NOT", ("un", "NOT", parse(expression))))[0]
+        try:
+            test = Compiler(ctx.scope(df)).compile(("un", "NOT", ("un", "NOT", parse(expression))))[0]
+        except ExpressionError:
+            test = compile_expression(expression, ctx.scope(df))[0]
     against = ~F.coalesce(test, F.lit(False)) if ctx.options.get("null_to_false") else ~test
     return {a: ctx.passed_on(df, df.filter(c)) for a, c in (("True", test), ("False", against))}
 

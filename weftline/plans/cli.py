@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from pathlib import Path
 
@@ -18,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--macro-dir", action="append", default=[])
     p.add_argument("--source", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to read under that name")
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="an engine variable")
+    p.add_argument("--hooks", metavar="MODULE", help="a module with any of fallback(tool, inputs, ctx), rewrite(expression, schema), narrate(run)")
     p.add_argument("--registry")
     p.add_argument("--no-registry", action="store_true")
     p.add_argument("--show-registry", action="store_true")
@@ -59,12 +61,13 @@ def main(argv: list[str] | None = None) -> int:
     for item in a.source:
         name, _, where = item.partition("=")
         spark.read.parquet(where).createOrReplaceTempView(name)
+    hooks = importlib.import_module(a.hooks) if a.hooks else None
     variables = dict(x.partition("=")[::2] for x in a.set)
     failed = 0
     for d in documents:
         try:
-            ctx = Context(spark, variables, allow_stubs=a.allow_stubs, write_outputs=a.output_dir is None)
-            run = compile_workflow(spark, parse_file(d), context=ctx, registry=registry, macro_dirs=[d.parent, *a.macro_dir], repair_columns=a.repair_columns)
+            ctx = Context(spark, variables, allow_stubs=a.allow_stubs, write_outputs=a.output_dir is None, rewrite=getattr(hooks, "rewrite", None))
+            run = compile_workflow(spark, parse_file(d), context=ctx, registry=registry, macro_dirs=[d.parent, *a.macro_dir], repair_columns=a.repair_columns, fallback=getattr(hooks, "fallback", None))
             out = Path(a.output_dir) / d.stem if a.output_dir else None
             for i, df in run.sinks().items():
                 if out:
@@ -72,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
             if not a.no_docs:
                 target = (out or d.parent / d.stem).with_name(f"{d.stem}_docs.md")
                 target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_text(markdown(run), encoding="utf-8")
+                target.write_text(markdown(run, getattr(hooks, "narrate", "")), encoding="utf-8")
             print(f"{d.name}: {len(run.graph.tools)} tools, {len(run.warnings)} warnings, {len(run.stubs)} stubs")
         except Exception as e:  # one document must not keep the others from running
             failed += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from weftline.plans.model import Workflow
 from weftline.plans.planner import Run
 
@@ -15,7 +17,9 @@ def overview(workflow: Workflow) -> str:
     return "\n".join(lines)
 
 
-def markdown(run: Run, narrative: str = "") -> str:
+def markdown(run: Run, narrative: str | Callable[[Run], str] = "") -> str:
+    """``narrative``: a text, or what gives one for a run."""
+    narrative = narrative(run) if callable(narrative) else narrative
     graph, out = run.graph, [f"# {run.workflow.name or 'Workflow'}", ""]
     if narrative:
         out += [narrative, ""]
