@@ -481,7 +481,7 @@ def union(inputs: Frames, config: dict, ctx: Context) -> Frames:
 def summarize(inputs: Frames, config: dict, ctx: Context) -> Frames:
     """Columns in the order of the configuration, groups and aggregates mixed."""
     df = only(inputs)
-    order = None
+    order, mixed = None, False
     keys, aggregates, columns = [], [], []
     for spec in listed((config.get("SummarizeFields") or {}).get("SummarizeField")):
         action = (spec.get("action") or "GroupBy").lower()
@@ -499,11 +499,12 @@ def summarize(inputs: Frames, config: dict, ctx: Context) -> Frames:
             if order:
                 by = F.struct(*(quoted(k) for k, _ in order))
                 ups = {up for _, up in order}
-                if len(ups) == 1:
-                    pick = F.min_by if (action == "first") == ups.copy().pop() else F.max_by
-                    aggregates.append(pick(c, by).alias(name))
-                    columns.append(quoted(name))
-                    continue
+                if len(ups) > 1:  # some keys ascending, some descending: by running numbers
+                    by, ups, mixed = F.col("__i"), {True}, True
+                pick = F.min_by if (action == "first") == ups.copy().pop() else F.max_by
+                aggregates.append(pick(c, by).alias(name))
+                columns.append(quoted(name))
+                continue
             ctx.warn(f"summarize: the order of rows is unknown; {action} is taken as {'min' if action == 'first' else 'max'}")
         made = {
             "sum": lambda: F.sum(c),
@@ -531,6 +532,8 @@ def summarize(inputs: Frames, config: dict, ctx: Context) -> Frames:
     if not columns:
         ctx.warn("summarize: nothing to do; rows are passed on")
         return {"Output": df}
+    if mixed:
+        df = numbered(df, order, "__i")
     if not aggregates:
         return {"Output": df.select(*keys).distinct().select(*columns)}
     return {"Output": (df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)).select(*columns)}
