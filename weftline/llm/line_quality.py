@@ -165,7 +165,8 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     rows = counts(docs, host, with_text=True)
     lost = cut(losses(rows, max_docs, max_all, max_share), "lost")
     texts = marked(rows.drop("lines", "line_words"), "row", lost.select("r"), "losing")
-    losing = texts.where("losing").join(lost, F.col("row") == F.col("r"), "left").drop("r")
+    # what is lost grows with the input, so it is never broadcast, not even where it is small
+    losing = texts.where("losing").join(lost.hint("merge"), F.col("row") == F.col("r"), "left").drop("r")
     whole = texts.where("not losing").withColumns({"words_removed": F.lit(None).cast("long"), "removed": F.lit(None).cast("array<long>")})
     found = [verdict(x.drop("row", "losing"), keep_share) for x in (losing, whole)]
     names = [c for c in found[0].columns if c not in ("text", "removed")]
