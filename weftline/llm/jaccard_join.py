@@ -360,7 +360,7 @@ def tiles(held: DataFrame, every: bool) -> DataFrame:
     per_comp = held.groupBy("e", "comp").agg(F.count("*").alias("c"))
     largest = per_comp.groupBy(F.col("e").alias("oe")).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
     sides = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
-    largest = largest.select("oe", F.col("top.comp").alias("most"), sides(F.col("top.c")).alias("wide"), sides(F.col("m") - F.col("top.c")).alias("narrow"))
+    largest = cut(largest.select("oe", F.col("top.comp").alias("most"), sides(F.col("top.c")).alias("wide"), sides(F.col("m") - F.col("top.c")).alias("narrow")), "largest")  # written, so that a hot element's holders can be split in the join
     rows = held.join(largest, F.col("e") == F.col("oe")).drop("oe")
     inner = F.col("comp") == F.col("most")
     part = F.pmod(F.xxhash64("node"), F.when(inner, F.col("wide")).otherwise(F.col("narrow"))).cast("int")
