@@ -15,6 +15,7 @@ rows also carry the target, so that one exchange of (id, size) serves join and w
 
 Defined results: a null text has size 0 and is never taken; documents of size 0 are not placed. A null source is a
 source of its own and ranks last. Documents whose id and size are equal may change places, which changes no result.
+Ids are taken to be nearly unique: rows of one id stand in one bucket.
 Without words every target is 0. Very long texts are counted whole. Empty tables give empty ones. Columns other than doc_id, text and source pass
 through ``mix`` untouched, whatever their names.
 """
