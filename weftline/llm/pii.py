@@ -122,7 +122,8 @@ def candidates(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern of ``edges`` occurs around any token of the texts."""
+    """(pattern, total): how often each pattern of ``edges`` occurs around any token of the texts; and some other patterns,
+    which share a bit with one of them."""
     spark = docs.sparkSession
     bit = lambda h: F.pmod(h, F.lit(SLOTS))
     at = edges.select(bit(F.col("pattern")).alias("at"))
@@ -133,8 +134,7 @@ def occurrences(docs: DataFrame, edges: DataFrame) -> DataFrame:
     rows = docs.select(words.alias("w")).where(F.size("w") > 3).join(F.broadcast(table))  # one row
     here = F.flatten(F.transform(F.sequence(F.lit(3), F.size("w") - 1), lambda i: patterns(F.element_at("w", i - 2), F.element_at("w", i - 1), F.element_at("w", i + 1))))
     marked = lambda h: F.getbit(F.element_at("wanted", (F.shiftright(bit(h), 6) + 1).cast("int")), (bit(h) % 64).cast("int")) == 1
-    seen = rows.select(F.explode(F.filter(here, marked)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    return seen.join(edges.select("pattern").distinct(), "pattern", "left_semi")
+    return rows.select(F.explode(F.filter(here, marked)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def bootstrap(edges: DataFrame, totals: DataFrame) -> DataFrame:
