@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.context import Context, ToolError, listed, value_of
